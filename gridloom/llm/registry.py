@@ -1,8 +1,20 @@
 """The op queries and, where SQL can say the same, their SQL."""
 
+from gridloom.llm.byte_bpe import op10_byte_bpe
 from gridloom.llm.chat import OP8_SQL, op8_chat_format
 from gridloom.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from gridloom.llm.language import op7_language_id
+from gridloom.llm.licenses import OP4_SQL, op4_license_scan
 from gridloom.llm.mixing import OP1_SQL, op1_mix
+from gridloom.llm.token_count import op3_token_counts
 
-QUERIES = {"op1_mix": op1_mix, "op2_exact_dedup": op2_exact_dedup, "op8_chat_format": op8_chat_format}
-ORACLE_SQL = {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_chat_format": OP8_SQL}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_license_scan": op4_license_scan,
+    "op7_language_id": op7_language_id,
+    "op8_chat_format": op8_chat_format,
+    "op10_byte_bpe": op10_byte_bpe,
+}
+ORACLE_SQL = {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_license_scan": OP4_SQL, "op8_chat_format": OP8_SQL}
