@@ -117,7 +117,7 @@ def op4_license_scan(spark, sf_dir):
 
 def _sql() -> str:
     listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    key_places = lambda key: f"list_filter(range(len(words)), lambda i: words[i + 1:i + {len(key)}] = {listed(key)})"
+    key_places = lambda key: f"(CASE WHEN contains(joined, ' {' '.join(key)} ') THEN list_filter(range(len(words)), lambda i: words[i + 1:i + {len(key)}] = {listed(key)}) ELSE [] END)"
     share = lambda words, key, at: (
         f"coalesce(list_max(list_transform({key_places(key)}, lambda i: ("
         + " + ".join(f"(CASE WHEN i + {k - at} >= 0 THEN coalesce((words[i + {k - at + 1}] = '{w}')::INT, 0) ELSE 0 END)" for k, w in enumerate(words))
@@ -127,7 +127,8 @@ def _sql() -> str:
     shares = ", ".join(f"{{'label': '{label}', 'share': {share(words, key, at)}}}" for label, words, key, at in TEMPLATES)
     base_labels = ", ".join(f"CASE WHEN len({b}) > 0 THEN '{label}' END" for b, label in zip(base, BASE.values(), strict=True))
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+WITH v AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+w AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS joined FROM v),
 s AS (SELECT doc_id, len(words)::BIGINT AS n_words, {" || ".join(base)} AS places, list_filter([{base_labels}], lambda x: x IS NOT NULL) AS bl, [{shares}] AS shares FROM w)
 SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
   array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels,
