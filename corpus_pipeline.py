@@ -1,8 +1,80 @@
-"""Placeholder until the stages are there."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, BPE.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; its result is written as Parquet and read again for the next one. All but
+the last return the columns of ``docs``. Stages 1 to 3 drop rows of the table they
+read, by row number, so rows with null or repeated ids are told apart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import byte_bpe, exact_dedup, language, mixing, near_dedup
+from gridloom.llm.common import Scratch, small_side, table
+
+#: Documents whose language is known with less than this probability go, as do those without a letter.
+LEAST_SCORE = 0.5
+
+
+def _row_name(docs: DataFrame) -> str:
+    name = "_row"
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _without(docs: DataFrame, dropped: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` without the rows numbered in ``dropped`` (row)."""
+    row = _row_name(docs)
+    gone = scratch.write(dropped.select(F.col("row").alias(row)), "dropped")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(small_side(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the classifier, trained on the labelled ones, knows for sure."""
+    model = language.train(docs)
+    if model is None:  # nothing to learn from, nothing to reject by
+        return docs
+    said = language.predict(docs.select(F.monotonically_increasing_id().alias("row"), "text"), model)
+    return _without(docs, said.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SCORE)), Scratch(spark, "language"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    found = exact_dedup.exact_duplicates(docs)
+    return _without(docs, found.where(~F.col("kept")).select(F.col("rid").alias("row")), Scratch(spark, "exact"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word shingles (similarity 0.8 or more) connect, the one with the smallest doc_id stays."""
+    found = near_dedup.near_duplicates(docs, width=5, percent=80)
+    return _without(docs, found.where(~F.col("kept")), Scratch(spark, "near"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are taken 0 to 3 times, by their sources' targets."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The other columns, n_tokens, the ids and the SHA-256 of the decoded bytes."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    back = byte_bpe.bpe_decode(byte_bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix), ("byte_bpe", encode)]
+#: A trained classifier and sketches aren't SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return docs

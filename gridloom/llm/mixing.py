@@ -100,7 +100,7 @@ def mix_decisions(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The mixed rows themselves: columns as in ``docs``, a row for each time a document is taken."""
     _, plan = plan_mix(docs, Scratch(docs.sparkSession, "mix"), id_col=id_col, source_col=source_col, **options)
-    kept = [F.col(f"_doc.{c}").alias(c) for c in docs.columns]
+    kept = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _key(F.col(source_col)).alias("key"), _hash(F.col(id_col)).alias("h"))
     rows = rows.join(small_side(plan.select("key", "copies", "upto")), "key")
     return rows.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.when(_copies() > 0, _copies()))).alias("_copy")).select(*kept)
