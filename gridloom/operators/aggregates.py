@@ -93,7 +93,7 @@ def profile(cells: DataFrame, along: Column, values: dict[str, Column], lo: floa
 
 def radial_profile(cells: DataFrame, r: Column, values: dict[str, Column], lo: float, hi: float, bins: int, weights: Column, log: bool = True, flux: bool = False) -> DataFrame:
     """A profile over log10 r (or r); fluxes are taken over the sphere, 4 pi r^2."""
-    along = finite(scaled(r, "log10"), -2.0) if log else r
+    along = F.when(r > 0, F.log10(r)).otherwise(-2.0) if log else r  # the origin counts as far inside
     out = profile(cells, along, values, lo, hi, bins, weights)
     radius = F.pow(F.lit(10.0), F.col("coord")) if log else F.col("coord")
     out = out.withColumn("r", radius)
