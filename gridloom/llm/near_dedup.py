@@ -4,16 +4,17 @@ A document's word shingles, hashed, fill ``REGISTERS`` registers: each is the
 smallest of exponentially distributed hash values, kept as its truncated logarithm
 to base ``BASE``. Registers merge by max() and agree with the sets' similarity, so
 bands of them are keys under which similar documents meet. Documents with equal
-sets are one class. In a band's bucket every class is paired with the bucket's
-smallest only; of the pairs, those that the joint likelihood of the two sketches
-puts far below the threshold go, the others are confirmed on the full sets. Where
-the classes of a bucket still are in different components, all pairs between those
-components are tested too, so the star costs no link.
+sets are one class. In a band's bucket every class is paired with one centre only;
+of the pairs, those that the joint likelihood of the two sketches puts far below
+the threshold go, the others are confirmed on the full sets. Where the classes of a
+bucket still are in different components, they are compared on full sets, in blocks
+within tasks that return links between components only: the stars cost no link.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ _A = _RNG.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _M = _RNG.integers(1, 1 << 63, (REGISTERS // BAND, BAND), dtype=np.uint64) | np.uint64(1)
 REMEMBERED = 300_000
+#: Classes on either side of a block of comparisons.
+BLOCK = 2048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,6 +142,75 @@ def _likely(batches):
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _linked(percent: int):
+    def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """For each query one member of each other component that it is linked with, by the inverted lists of the members' shingles."""
+        a, b = [], []
+        if len(members) and len(queries):
+            ids, comps, sizes = members["cid"].to_numpy(), members["c"].to_numpy(), members["items"].map(len).to_numpy()
+            items, owner = np.concatenate(members["items"].to_numpy()), np.repeat(np.arange(len(members)), sizes)
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            for cid, c, own in zip(queries["cid"], queries["c"], queries["items"], strict=True):
+                lo, hi = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(members))
+                hit = np.flatnonzero((100 * common >= percent * (sizes + len(own) - common)) & (comps != c))
+                first = np.unique(comps[hit], return_index=True)[1]
+                a += [cid] * len(first)
+                b += ids[hit[first]].tolist()
+        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+
+    return run
+
+
+def _compare(members: DataFrame, queries: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) of the queries with the members of the same group (group, cid, c in both), in blocks of at most about BLOCK by BLOCK within tasks."""
+    parts = lambda rows, name: rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    grid = scratch.write(parts(members, "rows").join(parts(queries, "columns"), "group"), "blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    inside = members.join(grid, "group").select("group", "cid", "c", own("rows").alias("x"), every("columns").alias("y")).join(sets, "cid")
+    asked = queries.join(grid, "group").select("group", "cid", "c", own("columns").alias("y"), every("rows").alias("x")).join(sets, "cid")
+    asked = asked.select(*[F.col(k).alias(k) for k in asked.columns])  # columns of its own, where both sides come from ``sets``
+    key = ["group", "x", "y"]
+    return scratch.write(inside.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_linked(percent), "a long, b long"), "links")
+
+
+def _open(members: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(placed, open): component c of every class of a bucket; and of the buckets with several, key, cid, c and ``to``, the largest component there."""
+    placed = members.select("key", "cid").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    placed = scratch.write(placed.select("key", "cid", F.coalesce("component", "cid").alias("c")), "placed")
+    mixed = scratch.write(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
+    open_ = placed.join(small_side(mixed), "key", "left_semi")
+    sizes = scratch.write(placed.select("cid", "c").distinct().groupBy("c").agg(F.count("*").alias("size")), "sizes")
+    open_ = scratch.write(open_.join(sizes, "c").select("key", "cid", "c", F.struct("size", "c").alias("of")), "sized")
+    top = scratch.write(open_.groupBy("key").agg(F.max("of").alias("of")).select("key", F.col("of.c").alias("to")), "tops")
+    return placed, scratch.write(open_.drop("of").join(top, "key"), "open")
+
+
+def _against_largest(members, comps, sets, scratch, percent) -> DataFrame:
+    """Links between a bucket's largest component, all of its members, and the bucket's other classes."""
+    placed, open_ = _open(members, comps, scratch)
+    queries = scratch.write(open_.where("c != to").select(F.col("to").alias("group"), "cid", "c").distinct(), "queries")
+    asked = placed.select(F.col("c").alias("group"), "cid", "c").distinct().join(small_side(queries.select("group").distinct()), "group", "left_semi")
+    return _compare(scratch.write(asked, "asked"), queries, sets, scratch, percent)
+
+
+def _among_rest(members, comps, sets, scratch, percent) -> DataFrame:
+    """Links between the classes of buckets that aren't of the bucket's largest component.
+
+    Classes that such buckets connect are a group, compared with itself.
+    """
+    _, open_ = _open(members, comps, scratch)
+    rest = open_.where("c != to")
+    least = scratch.write(rest.groupBy("key").agg(F.min("cid").alias("b")), "least")
+    groups = components(rest.join(least, "key").select(F.col("cid").alias("a"), "b").distinct(), scratch)
+    queries = scratch.write(rest.select("cid", "c").distinct().join(groups.select(F.col("id").alias("cid"), F.col("component").alias("group")), "cid").select("group", "cid", "c"), "queries")
+    return _compare(queries, queries, sets, scratch, percent)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept: a row a row of ``docs``.
 
@@ -157,8 +229,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketched = scratch.write(texts.mapInArrow(_sketch(width), "doc_id long, row long, n long, cid long, keys array<long>, regs binary"), "sketches")
 
     keyed = sketched.where("n > 0").select("cid", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("key", "a")
-    members = scratch.write(keyed.join(buckets, "key").distinct(), "members")
+    buckets = keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    shared = scratch.write(keyed.join(buckets, "key").distinct(), "shared")
+    # the centre of a bucket's star is the class that meets most others: of near copies, what they were copied from
+    degree = shared.groupBy("cid").agg(F.sum("size").alias("degree"))
+    centres = scratch.write(shared.select("key", "cid").join(degree, "cid").groupBy("key").agg(F.max(F.struct("degree", "cid")).alias("top")).select("key", F.col("top.cid").alias("a")), "centres")
+    members = scratch.write(shared.select("key", "cid").join(centres, "key"), "members")
+    scratch.drop(shared)
     stars = scratch.write(members.where("cid != a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("shared")), "stars")
 
     met = members.select("cid").distinct()
@@ -193,15 +270,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     second = stars.select("a", "b").join(first, ["a", "b"], "left_anti")
     links = scratch.write(links.unionByName(confirmed(apart(second, comps))), "links")
     comps = labelled(links)
-    # what the stars left out: pairs in a bucket whose ends are in different components
-    placed = members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "a", "cid", F.coalesce("component", "cid").alias("c"))
-    mixed = placed.where("cid != a").groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_ = scratch.write(placed.where("cid != a").join(mixed, "key").select("key", "cid", "c"), "open")
-    left, right = (open_.select("key", F.col("cid").alias(s), F.col("c").alias(f"c_{s}")) for s in "ab")
-    rest = left.join(right, "key").where("a < b AND c_a != c_b").select("a", "b").distinct()
-    more = scratch.write(confirmed(rest), "links")
-    if not more.isEmpty():
-        comps = labelled(links.unionByName(more))
+    # what the stars left out: first against the largest component of a bucket, which unites most, then the others
+    for step in (_against_largest, _among_rest):
+        more = step(members, comps, sets, scratch, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps = labelled(links)
 
     rows = sketched.select("doc_id", "row", "n", "cid").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left")
     alone = F.col("n") == 0
