@@ -84,28 +84,48 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v only, and no v is a u."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every id of ``edges`` (a, b: long): component is the smallest id reachable.
 
-    Alternating large and small stars: each round is a few aggregations and
-    joins, the number of rounds grows with the logarithm of the longest path.
-    Groups are reduced by min() before they are shuffled, and the joins have one
-    row a key on one side, so a centre with very many links is split.
+    Alternating large and small stars until only stars are left: each round is a
+    few aggregations and joins, the number of rounds grows with the logarithm of
+    the longest path. Groups are reduced by min() before they are shuffled, and the
+    joins have one row a key on one side, so a centre with very many links is split.
     """
     a, b = F.col("a"), F.col("b")
     now = scratch.write(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = None
-    while True:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         then = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        seen = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
-        now, before, mark = then, mark, seen
-        if before == seen:
-            break
+        now = then
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def with_component(ids: DataFrame, comps: DataFrame, name: str, to: str) -> DataFrame:
+    """``ids`` with the component of the ids in column ``name`` as column ``to``; what ``comps`` lacks is its own."""
+    found = comps.select(F.col("id").alias(name), F.col("component").alias("_component"))
+    return ids.join(found, name, "left").withColumn(to, F.coalesce("_component", name)).drop("_component")
+
+
+def more_components(comps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """What components() gives for the edges of ``comps`` and ``edges`` together: only the components that ``edges`` unite are labelled anew."""
+    for side in "ab":
+        edges = with_component(edges, comps, side, f"c_{side}")
+    between = edges.where("c_a != c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    new = scratch.write(components(between, scratch), "united")
+    every = comps.unionByName(new.select("id", F.col("id").alias("component"))).distinct()
+    moved = new.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return every.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))

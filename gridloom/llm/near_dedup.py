@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, components, small_side, table
+from gridloom.llm.common import Scratch, components, more_components, small_side, table, with_component
 
 REGISTERS, BAND = 288, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -180,8 +180,7 @@ def _compare(members: DataFrame, queries: DataFrame, sets: DataFrame, scratch: S
 
 def _open(members: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(placed, open): component c of every class of a bucket; and of the buckets with several, key, cid, c and ``to``, the largest component there."""
-    placed = members.select("key", "cid").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left")
-    placed = scratch.write(placed.select("key", "cid", F.coalesce("component", "cid").alias("c")), "placed")
+    placed = scratch.write(with_component(members.select("key", "cid"), comps, "cid", "c").select("key", "cid", "c"), "placed")
     mixed = scratch.write(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
     open_ = placed.join(small_side(mixed), "key", "left_semi")
     sizes = scratch.write(placed.select("cid", "c").distinct().groupBy("c").agg(F.count("*").alias("size")), "sizes")
@@ -255,27 +254,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         common = F.size(F.array_intersect("items_a", "items_b"))
         return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        return scratch.write(components(links, scratch), "components")
-
     def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(comps.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+            pairs = with_component(pairs, comps, side, f"c_{side}")
+        return pairs.where("c_a != c_b").select("a", "b")
 
     # each class with the smallest of the bucket that it shares most bands with, then the other stars that are still apart
     first = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     links = scratch.write(confirmed(first), "links")
-    comps = labelled(links)
+    comps = scratch.write(components(links, scratch), "components")
     second = stars.select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = scratch.write(links.unionByName(confirmed(apart(second, comps))), "links")
-    comps = labelled(links)
+    comps = scratch.write(more_components(comps, scratch.write(confirmed(apart(second, comps)), "links"), scratch), "components")
     # what the stars left out: first against the largest component of a bucket, which unites most, then the others
     for step in (_against_largest, _among_rest):
         more = step(members, comps, sets, scratch, percent)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = labelled(links)
+            comps = scratch.write(more_components(comps, more, scratch), "components")
 
     rows = sketched.select("doc_id", "row", "n", "cid").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left")
     alone = F.col("n") == 0
