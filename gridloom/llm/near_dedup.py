@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alone = F.col("n") == 0
     rows = rows.withColumn("root", F.when(~alone, F.coalesce("component", "cid")))
     groups = rows.where(~alone).groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    rows = rows.join(groups.select("root", "least", F.col("first.row").alias("keep_row")), "root", "left")
+    groups = scratch.write(groups.select("root", "least", F.col("first.row").alias("keep_row")), "groups")  # a table, so that a hot root's rows can be split in the join
+    rows = rows.join(small_side(groups), "root", "left")
     single = F.col("keep_row").isNull()
     return rows.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), (single | (F.col("row") == F.col("keep_row"))).alias("kept"))
 
