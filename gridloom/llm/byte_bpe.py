@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import bounded_batches, table
 
 #: Bytes up to which a piece is merged directly.
 LEAF = 64
@@ -144,6 +144,7 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "te
     encoded alike. ``ranks`` is a path on every machine. A column of ``docs``
     named as a result is replaced.
     """
+    bounded_batches(docs.sparkSession)
     irregular = irregular_tokens(ranks)
     kept = [c for c in docs.columns if c not in (text_col, "n_tokens", ids_col)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a two-column side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows and bytes of a batch of texts on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold whole texts of at most BATCH_ROWS rows and about BATCH_BYTES.
+
+    Both ends of the pipe to a Python worker hold a batch outside the heap. Results
+    don't depend on it; a smaller number of rows that the session names stays.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import bounded_batches, table
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -167,6 +167,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     languages, the same ones in each run. What the driver gets is bounded by the
     number of buckets and by the sample.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
@@ -199,6 +200,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """The columns of ``docs`` but the text, and the prediction. Null texts and texts without a letter: und, 0.0; so all without a model."""
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, lang_out, score_out)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)), F.lit("")).alias("_text"))
     schema = rows.drop("_text").schema.add(lang_out, "string").add(score_out, "double")

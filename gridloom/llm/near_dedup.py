@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, components, more_components, small_side, table, with_component
+from gridloom.llm.common import Scratch, bounded_batches, components, more_components, small_side, table, with_component
 
 REGISTERS, BAND = 288, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -29,7 +29,7 @@ _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _M = _RNG.integers(1, 1 << 63, (REGISTERS // BAND, BAND), dtype=np.uint64) | np.uint64(1)
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Classes on either side of a block of comparisons.
 BLOCK = 2048
 
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other in all 48 bands with a probability of 5e-7.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = scratch.write(texts.mapInArrow(_sketch(width), "doc_id long, row long, n long, cid long, keys array<long>, regs binary"), "sketches")
