@@ -62,8 +62,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The other columns, n_tokens, the ids and the SHA-256 of the decoded bytes."""
     import public_tokenizers
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    back = byte_bpe.bpe_decode(byte_bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    back = byte_bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 

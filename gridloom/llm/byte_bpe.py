@@ -34,7 +34,7 @@ from gridloom.llm.common import bounded_batches, table
 #: Bytes up to which a piece is merged directly.
 LEAF = 64
 #: Pre-tokens that a task remembers; beyond, it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 @lru_cache(2)
@@ -176,9 +176,27 @@ def bpe_decode(encoded: DataFrame, ranks: str, *, ids_col: str = "ids", out_col:
     return encoded.mapInArrow(run, encoded.drop(out_col).schema.add(out_col, "binary")) if out_col not in encoded.columns else bpe_decode(encoded.drop(out_col), ranks, ids_col=ids_col, out_col=out_col)
 
 
+def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """What bpe_decode() gives for bpe_encode(), by one Python worker a task: two in a row each hold batches and tables at the same time."""
+    bounded_batches(docs.sparkSession)
+    irregular = irregular_tokens(ranks)
+    made = ["n_tokens", ids_col, out_col]
+    kept = [c for c in docs.columns if c not in (text_col, *made)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
+    def run(batches):
+        encoder = Encoder(ranks, pattern, irregular)
+        for batch in batches:
+            for part in _pieces(batch):
+                ids = [encoder.encode(t) for t in part.column("_text").to_pylist()]
+                out = [pa.array([len(i) // 4 for i in ids], pa.int64()), _binary(ids), _binary([encoder.decode(i) for i in ids])]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + out, [*kept, *made])
+
+    return rows.mapInArrow(run, rows.drop("_text").schema.add("n_tokens", "long").add(ids_col, "binary").add(out_col, "binary"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe_decode(encoded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    back = bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

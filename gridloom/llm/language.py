@@ -28,7 +28,7 @@ MAX_LANGS = 256
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.01
 #: Code points that are handled at once.
-CHUNK = 2_000_000
+CHUNK = 250_000
 UNKNOWN = "und"
 
 
@@ -52,7 +52,7 @@ def _grams(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def _chunks(texts: list[str]):
-    """(first, texts) with about CHUNK code points at most, or one longer text."""
+    """(first, texts) with about CHUNK code points at most, or one longer text, which is then read by windows."""
     first, size = 0, 0
     for k, t in enumerate(texts):
         if size and size + len(t) > CHUNK:
@@ -63,10 +63,25 @@ def _chunks(texts: list[str]):
         yield first, texts[first:]
 
 
+def _windows(codes: np.ndarray, length: int):
+    """For each CHUNK code points of one text their n-grams' buckets, by order."""
+    for k in range(0, length, CHUNK):
+        n = min(CHUNK, length - k)
+        yield [g[:n] for g in _grams(codes[k : k + n + ORDERS - 1])]
+
+
 def counted(texts: list[str]):
     """For each text (buckets, counts)."""
     for _, part in _chunks(texts):
         codes, starts, lengths = _codes(part)
+        if len(part) == 1 and lengths[0] > CHUNK:
+            n = np.zeros(BUCKETS, np.int64)
+            for grams in _windows(codes, lengths[0]):
+                for g in grams:
+                    n += np.bincount(g, minlength=BUCKETS)
+            at = np.flatnonzero(n)
+            yield at.astype(np.uint32), n[at]
+            continue
         grams = _grams(codes)
         for s, n in zip(starts, lengths, strict=True):
             yield np.unique(np.concatenate([g[s : s + n] for g in grams]), return_counts=True)
@@ -103,6 +118,10 @@ class Model:
             some = np.flatnonzero(lengths)
             if not len(some):
                 continue
+            if len(part) == 1 and lengths[0] > CHUNK:
+                sums = [self.weights[g].sum(0, dtype=np.float64) for grams in _windows(codes, lengths[0]) for g in grams]
+                out[first] += sum(sums) / (ORDERS * lengths[0])
+                continue
             edges = np.stack([starts[some], starts[some] + lengths[some]], 1).ravel()
             total = np.zeros((len(some), len(self.langs)))
             for g in _grams(codes):

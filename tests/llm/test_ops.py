@@ -224,3 +224,27 @@ def test_pipeline(spark, tmp_path):
     decisions = {r.doc_id: r.copies for r in mixing.mix_decisions(spark.read.parquet(f"{folder}/near_dedup")).collect()}
     assert sorted(map(str, seen[3])) == sorted(str(i) for i, c in decisions.items() for _ in range(c)) and sorted(map(str, seen[4])) == sorted(map(str, seen[3]))
     assert sorted(map(str, (r.doc_id for r in corpus_pipeline.run(spark, str(folder)).collect()))) == sorted(map(str, seen[4]))
+
+
+def test_long_texts_by_windows(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = ["", "aB ç", "".join(map(chr, rng.integers(60, 900, 1200))), "xyz " * 50]
+    weights = rng.normal(size=(language.BUCKETS, 3)).astype(np.float32)
+
+    def both():
+        return language.Model(list("abc"), weights, np.zeros(3), 1.0).logits(texts), list(language.counted(texts))
+
+    logits, counts = both()
+    monkeypatch.setattr(language, "CHUNK", 100)
+    again, counts_again = both()
+    assert np.allclose(logits, again, atol=1e-9)
+    for (a, n), (b, m) in zip(counts, counts_again, strict=True):
+        assert (a == b).all() and (n == m).all()
+
+
+def test_round_trip_is_encode_then_decode(odd):
+    path = P.path("byte_bpe_50k.tiktoken")
+    one = byte_bpe.bpe_round_trip(odd, path, P.PATTERN)
+    two = byte_bpe.bpe_decode(byte_bpe.bpe_encode(odd, path, P.PATTERN), path)
+    assert one.schema == two.schema
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
