@@ -210,6 +210,20 @@ def _among_rest(members, comps, sets, scratch, percent) -> DataFrame:
     return _compare(queries, queries, sets, scratch, percent)
 
 
+def _with_rest(members, comps, sets, scratch, percent) -> DataFrame:
+    """``comps`` with all links between classes of the same bucket that the stars left out.
+
+    A class that joins a bucket's largest component hasn't been compared with the
+    classes that met that component before, so the pass is repeated until it returns
+    no link: then none of a bucket's other classes is linked with the largest component
+    as it is, and only pairs of the others are left. Each pass but the last unites components.
+    """
+    while not (more := _against_largest(members, comps, sets, scratch, percent)).isEmpty():
+        comps = scratch.write(more_components(comps, more, scratch), "components")
+    more = _among_rest(members, comps, sets, scratch, percent)
+    return comps if more.isEmpty() else scratch.write(more_components(comps, more, scratch), "components")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept: a row a row of ``docs``.
 
@@ -266,11 +280,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comps = scratch.write(components(links, scratch), "components")
     second = stars.select("a", "b").join(first, ["a", "b"], "left_anti")
     comps = scratch.write(more_components(comps, scratch.write(confirmed(apart(second, comps)), "links"), scratch), "components")
-    # what the stars left out: first against the largest component of a bucket, which unites most, then the others
-    for step in (_against_largest, _among_rest):
-        more = step(members, comps, sets, scratch, percent)
-        if not more.isEmpty():
-            comps = scratch.write(more_components(comps, more, scratch), "components")
+    comps = _with_rest(members, comps, sets, scratch, percent)
 
     rows = sketched.select("doc_id", "row", "n", "cid").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left")
     alone = F.col("n") == 0

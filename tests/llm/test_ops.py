@@ -161,6 +161,16 @@ def test_near(spark, tmp_path, odd, empty):
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(sets[r.doc_id]) for r in got)
 
 
+def test_near_chain_in_one_bucket(spark):
+    """Each class of one bucket is linked with the next only, and the stars found the first two links: the others join one by one."""
+    n, scratch = 6, near_dedup.Scratch(spark, "chain")
+    sets = spark.createDataFrame([(k, list(range(10 * k, 10 * k + 100))) for k in range(n)], "cid long, items array<long>")
+    members = spark.createDataFrame([(7, k, 0) for k in range(n)], "key long, cid long, a long")
+    comps = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "id long, component long")
+    whole = near_dedup._with_rest(members, comps, sets, scratch, 80)
+    assert {(r.id, r.component) for r in whole.collect()} == {(k, 0) for k in range(n)}
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(7)
     x = rng.integers(0, 1 << 63, 1200).astype(np.uint64)
