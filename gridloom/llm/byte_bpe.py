@@ -1,10 +1,11 @@
 """Byte-level BPE by monoid tree reduction.
 
-A long pre-token is halved until a half is short, halves are encoded, and
-neighbours are joined by encoding a window at the seam anew: the last k tokens of
-the left and the first k of the right. The join stops when the pairs at the
-window's two ends are compatible (each pair of tokens, encoded together, is that
-pair), else k doubles.
+A pre-token that isn't itself a token is halved until a half is one byte, halves are
+encoded, and neighbours are joined. Two neighbours whose tokens at the seam are
+compatible (the two, encoded together, are those two) are put side by side. Else a
+window at the seam is encoded anew: the last k tokens of the left and the first k of
+the right. The join stops when the pairs at the window's two ends are compatible, else
+k doubles.
 
 Why that is exact: take tokens in which every adjacent pair is compatible, and
 suppose merging all their bytes by rank (leftmost first) ever merges across an end
@@ -29,12 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, table
+from gridloom.llm.common import bounded_batches, fresh, table
 
-#: Bytes up to which a piece is merged directly.
-LEAF = 64
-#: Pre-tokens that a task remembers; beyond, it starts afresh.
-REMEMBERED = 100_000
+#: Pre-tokens, pieces and pairs that a task remembers; beyond, it starts afresh. Longer ones are encoded each time.
+REMEMBERED, REMEMBERED_BYTES = 100_000, 64
 
 
 @lru_cache(2)
@@ -62,33 +61,38 @@ def irregular_tokens(path: str) -> frozenset[bytes]:
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str, irregular: frozenset[bytes], leaf: int = LEAF):
+    """Texts to ids and back. ``joins`` counts the joins of the tree."""
+
+    def __init__(self, path: str, pattern: str, irregular: frozenset[bytes]):
         import regex
-        import tiktoken
 
         self.ranks = load_ranks(path)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.direct = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
-        self.irregular, self.leaf = irregular, leaf
+        self.irregular, self.joins = irregular, 0
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        return merge(self.ranks, piece) if piece in self.irregular else self.direct(piece)
+    def merged(self, piece: bytes) -> tuple[int, ...]:
+        rank = self.ranks.get(piece)
+        return (rank,) if rank is not None and piece not in self.irregular else tuple(merge(self.ranks, piece))
 
     def compatible(self, a: int, b: int) -> bool:
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            found = self.pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == (a, b)
         return found
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        k = 2
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
+        self.joins += 1
+        if self.compatible(left[-1], right[0]):
+            return left + right
+        k = 1
         while True:
             a, b = left[-k:], right[:k]
             window = self.merged(b"".join(map(self.tokens.__getitem__, a + b)))
@@ -96,17 +100,24 @@ class Encoder:
                 return left[: len(left) - len(a)] + window + right[len(b) :]
             k *= 2
 
-    def tree(self, piece: bytes) -> list[int]:
-        """Bottom-up over leaves of ``leaf`` bytes, neighbours joined level by level."""
-        level = [self.merged(piece[k : k + self.leaf]) for k in range(0, len(piece), self.leaf)]
-        while len(level) > 1:
-            level = [self.join(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        return level[0] if level else []
+    def tree(self, piece: bytes) -> tuple[int, ...]:
+        """Both halves' ids, joined; equal pieces are reduced once."""
+        if len(piece) == 1:
+            return (self.ranks[piece],)
+        found = self.pieces.get(piece)
+        if found is None:
+            half = len(piece) // 2
+            found = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+            if len(piece) <= REMEMBERED_BYTES:
+                if len(self.pieces) >= REMEMBERED:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
 
     def piece(self, text: str) -> bytes:
         raw = text.encode("utf-8", "surrogatepass")
         rank = self.ranks.get(raw)
-        ids = [rank] if rank is not None else self.tree(raw)
+        ids = (rank,) if rank is not None else self.tree(raw)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
@@ -116,7 +127,7 @@ class Encoder:
             ids = known.get(piece)
             if ids is None:
                 ids = self.piece(piece)
-                if len(piece) <= self.leaf:
+                if len(piece) <= REMEMBERED_BYTES:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[piece] = ids
@@ -127,6 +138,12 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """A worker's own encoder, which remembers pieces from task to task."""
+    return Encoder(path, pattern, irregular_tokens(path))
+
+
 def _binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
@@ -142,21 +159,22 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "te
 
     Null or empty text has no ids. Rows of any ids, repeated ones too, are
     encoded alike. ``ranks`` is a path on every machine. A column of ``docs``
-    named as a result is replaced.
+    named as a result is replaced, other names can't clash. A text must fit a Python
+    worker, with its ids; the tree needs its depth, the logarithm of a pre-token's bytes.
     """
     bounded_batches(docs.sparkSession)
-    irregular = irregular_tokens(ranks)
     kept = [c for c in docs.columns if c not in (text_col, "n_tokens", ids_col)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = fresh(docs.columns, "_text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
 
     def run(batches):
-        encoder = Encoder(ranks, pattern, irregular)
+        own = encoder(ranks, pattern)
         for batch in batches:
             for part in _pieces(batch):
-                ids = [encoder.encode(t) for t in part.column("_text").to_pylist()]
+                ids = [own.encode(t) for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array([len(i) // 4 for i in ids], pa.int64()), _binary(ids)], [*kept, "n_tokens", ids_col])
 
-    schema = rows.drop("_text").schema.add("n_tokens", "long").add(ids_col, "binary")
+    schema = rows.drop(text).schema.add("n_tokens", "long").add(ids_col, "binary")
     return rows.mapInArrow(run, schema)
 
 
@@ -179,20 +197,20 @@ def bpe_decode(encoded: DataFrame, ranks: str, *, ids_col: str = "ids", out_col:
 def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """What bpe_decode() gives for bpe_encode(), by one Python worker a task: two in a row each hold batches and tables at the same time."""
     bounded_batches(docs.sparkSession)
-    irregular = irregular_tokens(ranks)
     made = ["n_tokens", ids_col, out_col]
     kept = [c for c in docs.columns if c not in (text_col, *made)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = fresh(docs.columns, "_text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
 
     def run(batches):
-        encoder = Encoder(ranks, pattern, irregular)
+        own = encoder(ranks, pattern)
         for batch in batches:
             for part in _pieces(batch):
-                ids = [encoder.encode(t) for t in part.column("_text").to_pylist()]
-                out = [pa.array([len(i) // 4 for i in ids], pa.int64()), _binary(ids), _binary([encoder.decode(i) for i in ids])]
+                ids = [own.encode(t) for t in part.column(text).to_pylist()]
+                out = [pa.array([len(i) // 4 for i in ids], pa.int64()), _binary(ids), _binary([own.decode(i) for i in ids])]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + out, [*kept, *made])
 
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("n_tokens", "long").add(ids_col, "binary").add(out_col, "binary"))
+    return rows.mapInArrow(run, rows.drop(text).schema.add("n_tokens", "long").add(ids_col, "binary").add(out_col, "binary"))
 
 
 def op10_byte_bpe(spark, sf_dir):
