@@ -1,9 +1,10 @@
 """Token counts by the whole-token shortcut.
 
-Proof, done once on the driver from the vocabulary alone: no piece has a word
-mark after another character, so no merge crosses from one pre-token (a run of
-blanks and the word after it) to the next; and a piece that starts with the mark
-and encodes alone to itself counts 1 wherever it is a whole pre-token. A text's
+Proof, done once on the driver from the model's file alone: its normaliser changes
+nothing but blanks to word marks, with one in front; no piece has a word mark after
+another character, so no merge crosses from one pre-token (a run of blanks and the
+word after it) to the next; and a piece that starts with the mark and encodes alone
+to itself counts 1 wherever it is a whole pre-token. A text's
 count is the number of such pre-tokens plus the tokens of the others, which are
 merged together in one call, as pre-tokens don't affect each other.
 """
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import bounded_batches, table
 
 MARK = "▁"
 LIMIT = 4096
@@ -31,14 +32,50 @@ def _processor(model: str):
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
 
+def _fields(raw: bytes):
+    """(number, value) of each field of a protocol buffer message: an integer, or bytes."""
+
+    def varint(at):
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        key, at = varint(at)
+        kind = key & 7
+        if kind == 0:
+            value, at = varint(at)
+        else:
+            size, at = varint(at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+            value, at = raw[at : at + size], at + size
+        yield key >> 3, value
+
+
+#: Fixed values of the model's format: its settings' field numbers and defaults.
+TRAINER, NORMALIZER, SUFFIX = 2, 3, 24
+CHARACTER_MAP, DUMMY_PREFIX, REMOVE_BLANKS, ESCAPE_BLANKS, RULES = 2, 3, 4, 5, 6
+
+
+def plain_normaliser(model: bytes) -> bool:
+    """Whether the model's settings leave texts as they are, but for a blank put before them and the blanks' marks."""
+    settings = dict(_fields(model))  # the last of a kind counts; pieces aren't needed
+    rules = {DUMMY_PREFIX: 1, REMOVE_BLANKS: 1, ESCAPE_BLANKS: 1} | dict(_fields(settings.get(NORMALIZER, b"")))
+    suffix = dict(_fields(settings.get(TRAINER, b""))).get(SUFFIX, 0)
+    return not rules.get(CHARACTER_MAP) and not rules.get(RULES) and (rules[DUMMY_PREFIX], rules[REMOVE_BLANKS], rules[ESCAPE_BLANKS], suffix) == (1, 0, 1, 0)
+
+
 @lru_cache(4)
 def whole_words(model: str) -> frozenset[str] | None:
-    """Words that are one token by themselves; None if the vocabulary doesn't allow the shortcut."""
+    """Words that are one token by themselves; None if the model doesn't allow the shortcut."""
     sp = _processor(model)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     split = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-    # the normaliser must leave texts as they are but for the blank before them and the blanks' marks
-    plain = all(sp.encode(t, out_type=str) == sp.encode(t.replace(" ", MARK), out_type=str) for t in (" a  b ", "é é\t\n", "ﬁ Ａ ")) and sp.decode(sp.encode("a  Ａ ")) == "a  Ａ "
+    with open(model, "rb") as f:
+        plain = plain_normaliser(f.read())
     if not (split and plain):
         return None
     words = [p[1:] for p in pieces if p.startswith(MARK) and MARK not in p[1:]]
@@ -83,6 +120,7 @@ def token_counts(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_co
     repeated) are carried along. Texts come in Arrow batches, a row's text must
     fit a Python worker.
     """
+    bounded_batches(docs.sparkSession)
     whole = whole_words(model)
 
     def run(batches):
