@@ -4,9 +4,9 @@ Characters' 1- to 3-grams are hashed to ``BUCKETS``. A feature's value is its
 share of the text's n-grams times its inverse document frequency over all
 documents that may be learnt from. The weights are learnt by
 follow-the-regularised-leader with elastic-net penalties, which leaves most of
-them 0, on a bounded sample of labelled documents; the temperature of the
-probabilities on the part of the sample that wasn't learnt from. A prediction is
-linear in the n-gram counts, so it is one look-up a character and order.
+them 0, on a bounded sample of labelled documents of each language. The temperature of
+the probabilities comes from a fifth of each language's sample, by weights learnt from
+the rest; then the weights are learnt from all of it. A prediction is linear in the n-gram counts, so it is one look-up a character and order.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, table
+from gridloom.llm.common import bounded_batches, fresh, table
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -24,7 +24,6 @@ ORDERS = 3
 SCALE = 64.0
 #: The bound of the sample: about so many labelled documents of a language, by a hash of their ids.
 SAMPLE_PER_LANG = 600
-MAX_LANGS = 256
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.01
 #: Code points that are handled at once.
@@ -181,15 +180,17 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG) -> Model | None:
     """A model from the documents that have an id, a text and a language and aren't held out; None if there are none.
 
-    Document frequencies cover all of them. The weights come from about
-    ``sample_per_lang`` documents of each of the MAX_LANGS most frequent
-    languages, the same ones in each run. What the driver gets is bounded by the
-    number of buckets and by the sample.
+    Document frequencies cover all of them, and whole texts. The weights come from about
+    ``sample_per_lang`` documents of each language, the same ones in each run; every
+    language with a document that has an n-gram in the sample is learnt. The driver gets a
+    row a bucket, a row a language and the sample: a model takes about 1 MB a language
+    while it is learnt, and 0.25 MB in a worker. Rows with equal ids (repeated rows) are in
+    the sample together or not at all; order among equal ones doesn't matter.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return None
     langs = sorted(sizes)
@@ -201,32 +202,47 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     order = F.xxhash64(F.col("id").cast("string"), F.lit(17))
     share = F.shiftrightunsigned(order, 11).cast("double") / float(1 << 53)
-    rate = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, sample_per_lang / n))) for lang, n in sizes.items()], F.lit(0.0))
-    picked = rows.where(share < rate).select(order.alias("order"), "lang", "text").mapInArrow(_sample, "order long, lang string, buckets binary, counts binary").collect()
-    examples = []
-    for r in sorted(picked, key=lambda r: (r["order"], r["lang"])):
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, sample_per_lang / n)) for lang, n in sizes.items()], "lang string, rate double")
+    chosen = rows.join(F.broadcast(rates), "lang").where(share < F.col("rate"))  # a row a language
+    picked = chosen.select(order.alias("order"), "lang", "text").mapInArrow(_sample, "order long, lang string, buckets binary, counts binary").collect()
+    number = {lang: k for k, lang in enumerate(langs)}
+    examples, seen, rest = [], [0] * len(langs), []
+    for r in sorted(picked, key=lambda r: (r["order"], r["lang"], r["buckets"], r["counts"])):
         buckets, counts = np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4")
         if len(buckets):
-            examples.append((buckets, SCALE * counts / counts.sum() * idf[buckets], langs.index(r["lang"])))
+            y = number[r["lang"]]
+            seen[y] += 1
+            rest.append(seen[y] % 5 == 0)  # so the first four of a language are learnt from
+            examples.append((buckets, SCALE * counts / counts.sum() * idf[buckets], y))
     if not examples:
         return None
-    learnt, rest = [x for k, x in enumerate(examples) if k % 5], examples[::5]
-    w, bias = ftrl(learnt or rest, len(langs))
-    logits = np.array([(x[1] @ w[x[0]]) + bias for x in rest])
-    temperature = calibrate(logits, np.array([x[2] for x in rest]))
+    temperature = 1.0
+    if any(rest):
+        w, bias = ftrl([x for x, aside in zip(examples, rest, strict=True) if not aside], len(langs))
+        aside = [x for x, held in zip(examples, rest, strict=True) if held]
+        temperature = calibrate(np.array([(x[1] @ w[x[0]]) + bias for x in aside]), np.array([x[2] for x in aside]))
+    w, bias = ftrl(examples, len(langs))
     return Model(langs, (SCALE * idf[:, None] * w).astype(np.float32), bias, temperature)
 
 
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """The columns of ``docs`` but the text, and the prediction. Null texts and texts without a letter: und, 0.0; so all without a model."""
+    """The columns of ``docs`` but the text, and the prediction.
+
+    Null texts and texts without a letter: und, 0.0; so all without a model. Of languages
+    with equal probabilities the first by code point is taken. Long texts are read whole, by
+    windows; one text must fit a task. A column named as a result is replaced, other names
+    can't clash. No rows: no rows.
+    """
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, lang_out, score_out)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)), F.lit("")).alias("_text"))
-    schema = rows.drop("_text").schema.add(lang_out, "string").add(score_out, "double")
+    text = fresh(docs.columns, "_text")
+    whole = F.col(f"`{text_col}`")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.when(whole.rlike(r"\p{L}"), whole), F.lit("")).alias(text))
+    schema = rows.drop(text).schema.add(lang_out, "string").add(score_out, "double")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(text).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if model is not None:
                 known = [k for k, t in enumerate(texts) if t]
