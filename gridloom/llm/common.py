@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a two-column side is broadcast; beyond it the join shuffles.
@@ -23,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Lets Arrow batches hold whole texts of at most BATCH_ROWS rows and about BATCH_BYTES.
 
-    Both ends of the pipe to a Python worker hold a batch outside the heap. Results
-    don't depend on it; a smaller number of rows that the session names stays.
+    Both ends of the pipe to a Python worker hold a batch outside the heap. The bound is a
+    setting of the session, as plans that are returned run later; results don't depend on
+    it, and a smaller number of rows that the session names stays.
     """
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
@@ -37,10 +39,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (local mode)."""
+    """The cluster's shared folder. Where none is named, a temporary one in local mode; on a cluster that's an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -98,6 +110,41 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _number_of_files(docs: DataFrame) -> DataFrame | None:
+    """(path, file number) of the Parquet files that ``docs`` reads; None if ``docs`` is more than columns and rows of one such table."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return None
+    try:
+        meta = docs.metadataColumn("_metadata")
+        paths = docs.select(meta["file_path"].alias("path"), meta["row_index"].alias("at")).groupBy("path").agg(F.count("at").alias("rows"))
+    except AnalysisException:
+        return None
+    return paths.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("number"))  # a row a file
+
+
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "row") -> DataFrame:
+    """``docs`` and a long column ``name`` that numbers its rows, the same in every job that reads the result.
+
+    A row's number is its file's (of the sorted paths) and its place in the file, so it
+    doesn't depend on how the files are split into tasks, on the number of cores or on lost
+    executors. What isn't a plain read of Parquet files is written once, and that is read.
+    """
+    files = _number_of_files(docs)
+    if files is None:
+        docs = scratch.write(docs, "rows")
+        files = _number_of_files(docs)
+    files = scratch.write(files, "files")
+    path, at = fresh(docs.columns, "path"), fresh(docs.columns, "at")
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], meta["file_path"].alias(path), meta["row_index"].alias(at))
+    number = fresh([*rows.columns, name], "number")
+    rows = rows.join(small_side(files.select(F.col("path").alias(path), F.col("number").alias(number))), path)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft(F.col(number), 36) + F.col(at)).alias(name))
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every u has one v only, and no v is a u."""
     ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
@@ -110,19 +157,21 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternating large and small stars until only stars are left: each round is a
     few aggregations and joins, the number of rounds grows with the logarithm of
-    the longest path. Groups are reduced by min() before they are shuffled, and the
-    joins have one row a key on one side, so a centre with very many links is split.
+    the longest path. Groups are reduced by min() before they are shuffled. The minima
+    are tables with a row a key, so both sides of their joins are plain shuffles and
+    adaptive execution can split a centre with very many links.
     """
     a, b = F.col("a"), F.col("b")
     now = scratch.write(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
+        large = scratch.write(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"), "large")
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         then = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         scratch.drop(now)
+        scratch.drop(large)
         now = then
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

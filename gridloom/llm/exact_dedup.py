@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, ascii_lower, table
+from gridloom.llm.common import Scratch, ascii_lower, numbered, table
 
 FAN = 8
 #: Digest ranges. Their number, not a group's size, decides what one task merges in the last round.
@@ -69,19 +69,21 @@ def merge_runs(base: DataFrame, keep: str = "max") -> DataFrame:
     return runs.select("digest", "n_bytes", F.col("id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.col("n").alias("group_size"))
 
 
-def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", row_col: str | None = None) -> DataFrame:
     """A row a row of ``docs``: doc_id, rid, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
-    Equality is that of SHA-256 and byte length. ``keep`` = "max" or "min" says
+    Runs are ordered by the SHA-256 of the whole text, which with the byte length also is
+    the check of equality; texts themselves aren't shuffled. ``keep`` = "max" or "min" says
     whose row stays; null ids come last, and of rows with the same id and text
     (repeated rows) the first in the table stays, so one row a group is kept.
-    ``rid`` numbers the rows of the scan; ``docs`` must be a table that reads the
-    same twice, such as Parquet. An empty table gives no rows.
+    ``rid`` is the row's number: that of ``row_col`` (unique longs) if given, else of
+    common.numbered(). Other columns don't matter, whatever their names. Texts may be as
+    long as a row can be. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    text = normalised(F.col(text_col))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), text.alias("t"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *([F.col(row_col).alias("rid")] if row_col else []))
+    base = (base if row_col else numbered(base, scratch, "rid")).withColumn("t", normalised(F.col("t")))
     base = scratch.write(base.select("id", "rid", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), F.octet_length("t").cast("long").alias("n_bytes")), "digests")
     groups = merge_runs(base, keep).where("group_size > 1")
     joined = base.join(groups, ["digest", "n_bytes"], "left")

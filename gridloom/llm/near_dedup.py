@@ -4,22 +4,25 @@ A document's word shingles, hashed, fill ``REGISTERS`` registers: each is the
 smallest of exponentially distributed hash values, kept as its truncated logarithm
 to base ``BASE``. Registers merge by max() and agree with the sets' similarity, so
 bands of them are keys under which similar documents meet. Documents with equal
-sets are one class. In a band's bucket every class is paired with one centre only;
-of the pairs, those that the joint likelihood of the two sketches puts far below
-the threshold go, the others are confirmed on the full sets. Where the classes of a
-bucket still are in different components, they are compared on full sets, in blocks
-within tasks that return links between components only: the stars cost no link.
+sets are one class, by the SHA-256 of the whole sorted set; its number is its first
+row's. In a band's bucket every class is paired with one centre only; of the pairs,
+those that the joint likelihood of the two sketches puts far below the threshold go,
+the others are confirmed on the full sets. Where the classes of a bucket still are in
+different components, they are compared on full sets, in blocks within tasks that
+return links between components only: the stars cost no link.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, bounded_batches, components, more_components, small_side, table, with_component
+from gridloom.llm.common import Scratch, bounded_batches, components, more_components, numbered, small_side, table, with_component
 
 REGISTERS, BAND = 288, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -30,8 +33,8 @@ _A = _RNG.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _M = _RNG.integers(1, 1 << 63, (REGISTERS // BAND, BAND), dtype=np.uint64) | np.uint64(1)
 REMEMBERED = 100_000
-#: Classes on either side of a block of comparisons.
-BLOCK = 2048
+#: A group's classes are compared in blocks of SPREAD times the root of their number, within these bounds, and of so many shingles on a side.
+SPREAD, BLOCK_LEAST, BLOCK_MOST, BLOCK_ITEMS = 2.5, 128, 2048, 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,10 +100,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return at
 
 
-def _class_id(shingles: np.ndarray) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.sha256(shingles.tobytes()).digest()
 
 
 def _sketch(width: int):
@@ -109,15 +110,15 @@ def _sketch(width: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                n, cid, keys, regs = [], [], [], []
+                n, digest, keys, regs = [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingler(text)
                     r = registers(s) if len(s) else None
                     n.append(len(s))
-                    cid.append(_class_id(s) if len(s) else None)
+                    digest.append(_digest(s) if len(s) else None)
                     keys.append(None if r is None else bands(r))
                     regs.append(None if r is None else r.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())], ["doc_id", "row", "n", "cid", "keys", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())], ["doc_id", "row", "n", "digest", "keys", "regs"])
 
     return run
 
@@ -165,52 +166,57 @@ def _linked(percent: int):
     return run
 
 
-def _compare(members: DataFrame, queries: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) of the queries with the members of the same group (group, cid, c in both), in blocks of at most about BLOCK by BLOCK within tasks."""
-    parts = lambda rows, name: rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+def _compare(members: DataFrame, queries: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, *, alike: bool = False) -> DataFrame:
+    """Links (a, b) of the queries with the members of the same group (group, cid, c, n in both), in blocks of bounded rows and bytes within tasks.
+
+    ``alike``: both sides are the same rows, so that half of the blocks do.
+    """
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        block = F.least(F.lit(float(BLOCK_MOST)), F.greatest(F.lit(float(BLOCK_LEAST)), SPREAD * F.sqrt(F.count("*"))))
+        return rows.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / float(BLOCK_ITEMS))).cast("int").alias(name))
+
     grid = scratch.write(parts(members, "rows").join(parts(queries, "columns"), "group"), "blocks")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = lambda lo, hi: F.explode(F.sequence(lo, hi))
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
-    inside = members.join(grid, "group").select("group", "cid", "c", own("rows").alias("x"), every("columns").alias("y")).join(sets, "cid")
-    asked = queries.join(grid, "group").select("group", "cid", "c", own("columns").alias("y"), every("rows").alias("x")).join(sets, "cid")
+    first, last = F.lit(0), lambda n: F.col(n) - 1
+    inside = members.join(grid, "group").withColumn("x", own("rows")).select("group", "cid", "c", "x", every(F.col("x") if alike else first, last("columns")).alias("y")).join(sets, "cid")
+    asked = queries.join(grid, "group").withColumn("y", own("columns")).select("group", "cid", "c", "y", every(first, F.col("y") if alike else last("rows")).alias("x")).join(sets, "cid")
     asked = asked.select(*[F.col(k).alias(k) for k in asked.columns])  # columns of its own, where both sides come from ``sets``
     key = ["group", "x", "y"]
     return scratch.write(inside.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_linked(percent), "a long, b long"), "links")
 
 
-def _open(members: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(placed, open): component c of every class of a bucket; and of the buckets with several, key, cid, c and ``to``, the largest component there."""
-    placed = scratch.write(with_component(members.select("key", "cid"), comps, "cid", "c").select("key", "cid", "c"), "placed")
+def _open(members: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of the buckets whose classes are in several components: key, cid, n, their component c, and ``to``, the largest component there."""
+    placed = scratch.write(with_component(members.select("key", "cid", "n"), comps, "cid", "c").select("key", "cid", "n", "c"), "placed")
     mixed = scratch.write(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
-    open_ = placed.join(small_side(mixed), "key", "left_semi")
-    sizes = scratch.write(placed.select("cid", "c").distinct().groupBy("c").agg(F.count("*").alias("size")), "sizes")
-    open_ = scratch.write(open_.join(sizes, "c").select("key", "cid", "c", F.struct("size", "c").alias("of")), "sized")
-    top = scratch.write(open_.groupBy("key").agg(F.max("of").alias("of")).select("key", F.col("of.c").alias("to")), "tops")
-    return placed, scratch.write(open_.drop("of").join(top, "key"), "open")
-
+    open_ = scratch.write(placed.join(mixed, "key", "left_semi"), "mixed_classes")
+    scratch.drop(placed)
+    sizes = open_.select("cid", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
+    sized = open_.select("key", "c").distinct().join(sizes, "c")
+    top = scratch.write(sized.groupBy("key").agg(F.max(F.struct("size", "c")).alias("of")).select("key", F.col("of.c").alias("to")), "tops")
+    return scratch.write(open_.join(top, "key"), "open")
 
-def _against_largest(members, comps, sets, scratch, percent) -> DataFrame:
-    """Links between a bucket's largest component, all of its members, and the bucket's other classes."""
-    placed, open_ = _open(members, comps, scratch)
-    queries = scratch.write(open_.where("c != to").select(F.col("to").alias("group"), "cid", "c").distinct(), "queries")
-    asked = placed.select(F.col("c").alias("group"), "cid", "c").distinct().join(small_side(queries.select("group").distinct()), "group", "left_semi")
-    return _compare(scratch.write(asked, "asked"), queries, sets, scratch, percent)
 
+def _against_largest(open_: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links between a bucket's largest component, its members in such buckets, and the bucket's other classes."""
+    queries = scratch.write(open_.where("c != to").select(F.col("to").alias("group"), "cid", "c", "n").distinct(), "queries")
+    asked = scratch.write(open_.where("c = to").select(F.col("c").alias("group"), "cid", "c", "n").distinct(), "asked")
+    return _compare(asked, queries, sets, scratch, percent)
 
-def _among_rest(members, comps, sets, scratch, percent) -> DataFrame:
-    """Links between the classes of buckets that aren't of the bucket's largest component.
 
-    Classes that such buckets connect are a group, compared with itself.
-    """
-    _, open_ = _open(members, comps, scratch)
+def _among_rest(open_: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links between the classes of a bucket that aren't of its largest component: bucket by bucket, those with the same classes once."""
     rest = open_.where("c != to")
-    least = scratch.write(rest.groupBy("key").agg(F.min("cid").alias("b")), "least")
-    groups = components(rest.join(least, "key").select(F.col("cid").alias("a"), "b").distinct(), scratch)
-    queries = scratch.write(rest.select("cid", "c").distinct().join(groups.select(F.col("id").alias("cid"), F.col("component").alias("group")), "cid").select("group", "cid", "c"), "queries")
-    return _compare(queries, queries, sets, scratch, percent)
+    marks = [F.sum(F.xxhash64("cid", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in (1, 2)]
+    several = rest.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("cid").alias("least"), *marks).where("low < high")
+    once = scratch.write(several.groupBy("size", "least", "mark1", "mark2").agg(F.min("key").alias("key")).select("key"), "once")
+    queries = scratch.write(rest.join(once, "key").select(F.col("key").alias("group"), "cid", "c", "n"), "rest")
+    return _compare(queries, queries, sets, scratch, percent, alike=True)
 
 
-def _with_rest(members, comps, sets, scratch, percent) -> DataFrame:
+def _with_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """``comps`` with all links between classes of the same bucket that the stars left out.
 
     A class that joins a bucket's largest component hasn't been compared with the
@@ -218,44 +224,53 @@ def _with_rest(members, comps, sets, scratch, percent) -> DataFrame:
     no link: then none of a bucket's other classes is linked with the largest component
     as it is, and only pairs of the others are left. Each pass but the last unites components.
     """
-    while not (more := _against_largest(members, comps, sets, scratch, percent)).isEmpty():
+    while True:
+        open_ = _open(members, comps, scratch)
+        if open_.isEmpty():
+            return comps
+        more = _against_largest(open_, sets, scratch, percent)
+        if more.isEmpty():
+            break
         comps = scratch.write(more_components(comps, more, scratch), "components")
-    more = _among_rest(members, comps, sets, scratch, percent)
+    more = _among_rest(open_, sets, scratch, percent)
     return comps if more.isEmpty() else scratch.write(more_components(comps, more, scratch), "components")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept: a row a row of ``docs``.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their
-    sets of ``width``-word shingles. component_id is the smallest id that links
-    reach. Null text is empty; an empty set links with nothing. Null ids can't be
-    a component's id: a component of such rows only has a null one. kept is true
+    sets of ``width``-word shingles (64-bit hashes of them). component_id is the smallest
+    id that links reach. Null text is empty; an empty set links with nothing. Null ids can't
+    be a component's id: a component of such rows only has a null one. kept is true
     for one row a component, that of the smallest id (the first in the table if
-    rows repeat). ``row`` numbers the rows of the scan; ``docs`` must be a table
-    that reads the same twice. Two documents that are linked at 0.8 miss each
-    other in all 48 bands with a probability of 5e-7.
+    rows repeat). ``row`` is the row's number: that of ``row_col`` (unique longs) if given,
+    else of common.numbered(). A text, its set and its hashes must fit a task; other columns
+    don't matter, whatever their names. No rows: no rows. Two documents that are linked at
+    0.8 miss each other in all 48 bands with a probability of 5e-7.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "near")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = scratch.write(texts.mapInArrow(_sketch(width), "doc_id long, row long, n long, cid long, keys array<long>, regs binary"), "sketches")
-
-    keyed = sketched.where("n > 0").select("cid", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    shared = scratch.write(keyed.join(buckets, "key").distinct(), "shared")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    texts = (texts if row_col else numbered(texts, scratch)).select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text"))
+    sketched = scratch.write(texts.mapInArrow(_sketch(width), "doc_id long, row long, n long, digest binary, keys array<long>, regs binary"), "sketches")
+    classes = scratch.write(sketched.where("n > 0").groupBy("digest").agg(F.min("row").alias("cid")), "classes")
+
+    firsts = sketched.where("n > 0").join(small_side(classes.select(F.col("cid").alias("row"))), "row", "left_semi").withColumnRenamed("row", "cid")
+    keyed = firsts.select("cid", "n", F.explode("keys").alias("key"))
+    buckets = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = scratch.write(keyed.join(buckets, "key"), "shared")
     # the centre of a bucket's star is the class that meets most others: of near copies, what they were copied from
-    degree = shared.groupBy("cid").agg(F.sum("size").alias("degree"))
+    degree = scratch.write(shared.groupBy("cid").agg(F.sum("size").alias("degree")), "degrees")
     centres = scratch.write(shared.select("key", "cid").join(degree, "cid").groupBy("key").agg(F.max(F.struct("degree", "cid")).alias("top")).select("key", F.col("top.cid").alias("a")), "centres")
-    members = scratch.write(shared.select("key", "cid").join(centres, "key"), "members")
+    members = scratch.write(shared.select("key", "cid", "n").join(centres, "key"), "members")
     scratch.drop(shared)
     stars = scratch.write(members.where("cid != a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("shared")), "stars")
 
-    met = members.select("cid").distinct()
-    chosen = sketched.select("cid", "row", "n", "regs").join(small_side(met), "cid", "left_semi").groupBy("cid").agg(F.min_by(F.struct("row", "n", "regs"), "row").alias("r"))
-    chosen = scratch.write(chosen.select("cid", "r.*"), "classes")
-    sets = scratch.write(texts.select("row", "text").join(small_side(chosen.select("row", "cid")), "row").select("cid", "text").mapInArrow(_sets(width), "cid long, items array<long>"), "sets")
+    met = small_side(degree.select("cid"))
+    chosen = scratch.write(firsts.join(met, "cid", "left_semi").select("cid", "n", "regs"), "met")
+    sets = scratch.write(texts.select(F.col("row").alias("cid"), "text").join(met, "cid", "left_semi").mapInArrow(_sets(width), "cid long, items array<long>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.select("a", "b")
@@ -282,11 +297,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comps = scratch.write(more_components(comps, scratch.write(confirmed(apart(second, comps)), "links"), scratch), "components")
     comps = _with_rest(members, comps, sets, scratch, percent)
 
-    rows = sketched.select("doc_id", "row", "n", "cid").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left")
-    alone = F.col("n") == 0
-    rows = rows.withColumn("root", F.when(~alone, F.coalesce("component", "cid")))
-    groups = rows.where(~alone).groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    groups = scratch.write(groups.select("root", "least", F.col("first.row").alias("keep_row")), "groups")  # a table, so that a hot root's rows can be split in the join
+    # tables with a row a key, so that adaptive execution can split a hot set's or root's rows
+    root = scratch.write(classes.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("root")), "roots")
+    rows = sketched.select("doc_id", "row", "n", "digest").join(root, "digest", "left").drop("digest")
+    groups = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    groups = scratch.write(groups.select("root", "least", F.col("first.row").alias("keep_row")), "groups")
     rows = rows.join(small_side(groups), "root", "left")
     single = F.col("keep_row").isNull()
     return rows.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), (single | (F.col("row") == F.col("keep_row"))).alias("kept"))

@@ -4,14 +4,17 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere
 Every such string holds an anchor: the smallest hash of ``GRAM`` bytes in it, which
 depends on the string alone. So occurrences of a string share an anchor at the same
 place, and only anchors whose hash is found more than once matter. What surrounds an
-anchor (all strings that hold it) is its region. Equal regions are covered whole.
+anchor (all strings that hold it) is its region. Equal regions are covered whole; those
+that follow each other closely within a text, as in a run of one byte, are one row.
 The distinct regions of anchors with several are sorted column by column, from the
 last to the first: each round puts one more symbol in front of every region's
 suffix, by a stable sort of the order so far, as in a collection's Burrows-Wheeler
 transform, and updates the common prefixes of neighbours in that order. A string
 starting in the column is repeated if it has LENGTH symbols in common with a
 neighbour. Regions are handled in blocks of bounded size, whose columns are read
-one after another.
+one after another. The regions of an anchor with more of them than a block takes are
+told apart by the hashes of their strings, grouped by Spark, instead of in one block.
+Regions are equal if 128 bits of hashes are (the anchor's and the region's).
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, small_side, table
+from gridloom.llm.common import Scratch, bounded_batches, numbered, small_side, table
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
-#: Regions in a block, on average.
-BLOCK = 20_000
+#: Regions in a block, on average; an anchor with more than HOT of them isn't put into a block.
+BLOCK, HOT = 20_000, 20_000
 PAD = 256
 
 
@@ -73,7 +76,19 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     return where, np.concatenate(hashes)[first]
 
 
+def _runs(h: np.ndarray, g: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, counts): anchors by (h, g, at), and the runs of equal ones of which each starts within ``length`` of the one before."""
+    order = np.lexsort((at, g, h))
+    h, g, at = h[order], g[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (at[1:] - at[:-1] > length)
+    starts = np.flatnonzero(new)
+    return order, starts, np.diff(np.append(starts, len(at)))
+
+
 def _anchors(length: int):
+    """A row a run of equal regions: the anchor's and the region's hash, the row, the first and the last place, and how many."""
+
     def run(batches):
         import xxhash
 
@@ -81,15 +96,36 @@ def _anchors(length: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rows, places, hashes, regions = [], [], [], []
+                rows, places, ends, counts, hashes, regions = [], [], [], [], [], []
                 for row, text in zip(part.column("row").to_numpy(), part.column("text").to_pylist(), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     at, h = anchors(raw, length)
-                    rows.append(np.full(len(at), row))
-                    places.append(at)
-                    hashes.append(h.view(np.int64))
-                    regions.append(np.fromiter((xxhash.xxh3_64_intdigest(raw[max(0, p - left) : p + length], min(p, left)) for p in at.tolist()), np.uint64, len(at)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, regions, rows, places)], ["h", "g", "row", "at"])
+                    h, g = h.view(np.int64), np.fromiter((xxhash.xxh3_64_intdigest(raw[max(0, p - left) : p + length], min(p, left)) for p in at.tolist()), np.uint64, len(at)).view(np.int64)
+                    order, starts, n = _runs(h, g, at, length)
+                    first = order[starts]
+                    rows.append(np.full(len(starts), row))
+                    places.append(at[first])
+                    ends.append(at[order[starts + n - 1]] if len(starts) else at)
+                    counts.append(n)
+                    hashes.append(h[first])
+                    regions.append(g[first])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (hashes, regions, rows, places, ends, counts)], ["h", "g", "row", "at", "to", "n"])
+
+    return run
+
+
+def _string_hashes(length: int):
+    """For each region the 128-bit hash of every string of ``length`` that holds its anchor, and where it starts."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                region, start = r["region"], r["at"] - r["left"]
+                hashes = [xxhash.xxh3_128_digest(region[k : k + length]) for k in range(min(r["left"], len(region) - length) + 1)]
+                n = len(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array([r["row"]] * n, pa.int64()), pa.array([start + k for k in range(n)], pa.int64()), pa.array([r["alone"]] * n, pa.bool_())], ["string", "row", "lo", "alone"])
 
     return run
 
@@ -182,30 +218,42 @@ def _remove(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cut, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, row_col: str | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (lo, hi of removed bytes, maximal, in order), kept (the remaining bytes): a row a row of ``docs``.
 
     Matches never cross texts and are judged on the input. Null text is empty;
     texts shorter than ``length`` have no matches. Repeated rows are texts of their
-    own, so they repeat each other. ``docs`` must be a table that reads the same
-    twice. An anchor whose regions differ in very many ways is in one block.
+    own, so they repeat each other. Rows are told apart by ``row_col`` (unique longs) if
+    given, else by common.numbered(); ids are carried along, other columns don't matter.
+    Whole texts are read; one text, with its spans, must fit a task. No rows: no rows.
     """
-    scratch = Scratch(docs.sparkSession, "repeats")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark, "repeats")
     left = length - GRAM
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = scratch.write(texts.select("row", "text").mapInArrow(_anchors(length), "h long, g long, row long, at long"), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    texts = (texts if row_col else numbered(texts, scratch)).select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text"))
+    found = scratch.write(texts.select("row", "text").mapInArrow(_anchors(length), "h long, g long, row long, at long, to long, n long"), "anchors")
+    # tables with a row a key, so that adaptive execution can split a hot anchor's or region's rows
+    often = scratch.write(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "often")
     shared = scratch.write(found.join(often, "h"), "shared")
     scratch.drop(found)
-    regions = scratch.write(shared.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("first")), "regions")
-    whole = shared.join(regions.where("n > 1").select("h", "g"), ["h", "g"]).select("row", (F.col("at") - left).alias("lo"), (F.col("at") + length).alias("hi"))
-    several = regions.groupBy("h").agg(F.count("*").alias("ways")).where("ways > 1").select("h")
-    reps = scratch.write(regions.join(several, "h").select("h", F.col("first.row").alias("row"), F.col("first.at").alias("at"), (F.col("n") == 1).alias("alone")), "representatives")
-    blocks = max(1, -(-reps.count() // BLOCK))
-    places = reps.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")).groupBy("row").agg(F.collect_list(F.struct("block", "at", "alone")).alias("places"))
+    regions = scratch.write(shared.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at")).alias("first")), "regions")
+    whole = shared.join(regions.where("n > 1").select("h", "g"), ["h", "g"]).select("row", (F.col("at") - left).alias("lo"), (F.col("to") + length).alias("hi"))
+    several = scratch.write(regions.groupBy("h").agg(F.count("*").alias("ways")).where("ways > 1"), "several")
+    reps = regions.join(several, "h").select("h", F.col("first.row").alias("row"), F.col("first.at").alias("at"), (F.col("n") == 1).alias("alone"), (F.col("ways") > HOT).alias("hot"))
+    reps = scratch.write(reps, "representatives")
+    total, hot = reps.agg(F.count("*"), F.coalesce(F.sum(F.col("hot").cast("int")), F.lit(0))).first()
+    blocks = max(1, -(-(total - hot) // BLOCK))
+    block = F.when(~F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(blocks))).cast("int")
+    places = reps.withColumn("block", block).groupBy("row").agg(F.collect_list(F.struct("block", "at", "alone")).alias("places"))
     some = texts.select("row", "text").join(small_side(reps.select("row").distinct()), "row", "left_semi").join(places, "row")
     cut = some.mapInArrow(_cut(length), "block int, row long, at long, alone boolean, left int, region binary")
-    partly = cut.groupBy("block").applyInPandas(_repeated(length), "row long, lo long, hi long")
+    partly = cut.where("block IS NOT NULL").groupBy("block").applyInPandas(_repeated(length), "row long, lo long, hi long")
+    if hot:
+        strings = scratch.write(cut.where("block IS NULL").mapInArrow(_string_hashes(length), "string binary, row long, lo long, alone boolean"), "strings")
+        twice = scratch.write(strings.groupBy("string").agg(F.min(F.struct("row", "lo")).alias("first"), F.max(F.struct("row", "lo")).alias("last")).where("first < last").select("string"), "twice")  # one place can be found by several anchors
+        partly = partly.unionByName(strings.where("alone").join(twice, "string").select("row", "lo", (F.col("lo") + length).alias("hi")))
     spans = scratch.write(whole.unionByName(partly).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     scratch.drop(shared)
     return texts.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")

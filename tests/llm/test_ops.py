@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import byte_bpe, chat, exact_dedup, language, licenses, mixing, near_dedup, repeats, token_count, vector_dedup
+from gridloom.llm.common import Scratch, numbered
 
 P = pytest.importorskip("public_tokenizers")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, size double"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, _text double"
 
 
 def docs(spark, tmp_path, rows, name="docs"):
@@ -84,12 +85,15 @@ def test_bpe(odd, empty):
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = byte_bpe.load_ranks(path)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    ours = byte_bpe.Encoder(path, P.PATTERN, byte_bpe.irregular_tokens(path), leaf=3)
+    ours = byte_bpe.Encoder(path, P.PATTERN, byte_bpe.irregular_tokens(path))
     rng = random.Random(4)
     for _ in range(600):
         t = "".join(rng.choice(["a", "the", " ", "  ", "-", "é", "12", "x", "ion", "日本", "aaaa", "'s"]) for _ in range(rng.randint(0, 90)))
         assert list(np.frombuffer(ours.encode(t), "<u4")) == enc.encode_ordinary(t)
         assert ours.decode(ours.encode(t)) == t.encode()
+    assert ours.joins > 1000
+    rare = [t for t in byte_bpe.irregular_tokens(path)]
+    assert all(list(np.frombuffer(ours.encode(t), "<u4")) == enc.encode_ordinary(t) for t in ["x" * 5000, "qz" * 3000, *(r.decode("utf-8", "ignore") for r in rare)])
     assert byte_bpe.bpe_encode(empty, path, P.PATTERN).count() == 0
     got = byte_bpe.bpe_decode(byte_bpe.bpe_encode(odd, path, P.PATTERN), path).collect()
     want = sorted((struct.pack(f"<{len(i)}I", *i), (t or "").encode()) for t, i in ((t, enc.encode_ordinary(t or "")) for _, t, _, _ in ODD))
@@ -165,12 +169,61 @@ def test_near_chain_in_one_bucket(spark):
     """Each class of one bucket is linked with the next only, and the stars found the first two links: the others join one by one."""
     n, scratch = 6, near_dedup.Scratch(spark, "chain")
     sets = spark.createDataFrame([(k, list(range(10 * k, 10 * k + 100))) for k in range(n)], "cid long, items array<long>")
-    members = spark.createDataFrame([(7, k, 0) for k in range(n)], "key long, cid long, a long")
+    members = spark.createDataFrame([(7, k, 100, 0) for k in range(n)] + [(8, k, 100, 0) for k in range(n)], "key long, cid long, n long, a long")
     comps = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "id long, component long")
     whole = near_dedup._with_rest(members, comps, sets, scratch, 80)
     assert {(r.id, r.component) for r in whole.collect()} == {(k, 0) for k in range(n)}
 
 
+def test_rest_in_several_blocks(spark, monkeypatch):
+    """Small blocks give the same: classes that differ by 10 of 100 shingles, none met by a star."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MOST", 3.0)
+    monkeypatch.setattr(near_dedup, "BLOCK_LEAST", 2)
+    n, scratch = 13, near_dedup.Scratch(spark, "blocks")
+    start = [200 * (k % 3) + 10 * (k // 3) for k in range(n)]
+    sets = spark.createDataFrame([(k, list(range(s, s + 100))) for k, s in enumerate(start)], "cid long, items array<long>")
+    members = spark.createDataFrame([(key, k, 100, 0) for key in (7, 8) for k in range(n) if key == 7 or k != 5], "key long, cid long, n long, a long")
+    whole = near_dedup._with_rest(members, spark.createDataFrame([], "id long, component long"), sets, scratch, 80)
+    assert {(r.id, r.component) for r in whole.collect()} == {(k, k % 3) for k in range(n)}
+
+
+def test_numbers_stay(spark, tmp_path):
+    """Rows keep their numbers, and the operators their results, when tables are split otherwise from job to job."""
+    rows = [(k, f"{phrase(k // 3, 45)} {phrase(1000 + k, 3)}" if k % 2 else phrase(k // 4, 90), "en", "s") for k in range(300)]
+    table = spark.createDataFrame([(i, t, lang, s, len(t), "r", "k", 0.5) for i, t, lang, s in rows], DOCS)
+    table.repartition(3).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/split")
+    docs_ = spark.read.parquet(f"{tmp_path}/split")
+    scratch = near_dedup.Scratch(spark, "numbers")
+    seen, conf = [], "spark.sql.leafNodeDefaultParallelism"
+    for filtered in (docs_, docs_.where("doc_id >= 0").select("doc_id", "text"), docs_.limit(300), docs_.unionByName(docs_)):
+        whole = numbered(filtered, scratch, "row_")
+        for cores in ("1", "16"):
+            spark.conf.set(conf, cores)
+            got = {r.row_: r.doc_id for r in whole.collect()}
+            seen.append(got)
+            assert len(got) == filtered.count()
+        assert seen[-1] == seen[-2]
+        spark.conf.unset(conf)
+    real, results = Scratch.write, []
+
+    def write(self, df, name):  # another split in each job
+        write.n += 1
+        self.spark.conf.set(conf, str(1 + write.n % 7))
+        return real(self, df, name)
+
+    for cls in (real, write):
+        write.n, Scratch.write = 0, cls
+        try:
+            near = sorted(map(str, near_dedup.near_duplicates(docs_, width=2).collect()))
+            cut = sorted(map(str, repeats.remove_repeats(docs_).collect()))
+            stages = [sorted(r.doc_id for r in stage(spark, docs_, "").collect()) for name, stage in corpus_pipeline.STAGES[:3]]
+        finally:
+            Scratch.write = real
+            spark.conf.unset(conf)
+        results.append((near, cut, stages))
+    assert results[0] == results[1]
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(7)
     x = rng.integers(0, 1 << 63, 1200).astype(np.uint64)
@@ -192,6 +245,25 @@ def test_repeats(spark, tmp_path, odd, empty):
     assert ours == sorted(want)
 
 
+def test_repeats_of_hot_anchors(spark, tmp_path, monkeypatch):
+    """Anchors with more regions than a block takes give the same."""
+    monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "BLOCK", 5)
+    rng = random.Random(18)
+    passage = phrase(3, 60)
+    rows = [(k, phrase(100 + k, rng.randint(0, 20)) + passage[rng.randint(0, 100) : rng.randint(150, 360)] + phrase(500 + k, rng.randint(0, 20)), "en", "s") for k in range(60)] + [(k, "ab" * rng.randint(90, 400), "en", "s") for k in range(60, 64)]
+    got = repeats.remove_repeats(docs(spark, tmp_path, rows, "hot")).collect()
+    want = repeats.brute_force([t.encode() for _, t, _, _ in rows])
+    assert sorted((r.n_bytes, sum(s.hi - s.lo for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == sorted(want)
+
+
+def test_runs_are_one_row():
+    raw = b"z" * 100_000
+    at, h = repeats.anchors(raw)
+    order, starts, n = repeats._runs(h.view(np.int64), np.zeros(len(at), np.int64), at, repeats.LENGTH)
+    assert len(at) > 90_000 and len(starts) == 1 and n[0] == len(at)
+
+
 def test_vectors(spark, tmp_path):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 16))
