@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; its result is written as Parquet and read again for the next one. All but
 the last return the columns of ``docs``. Stages 1 to 3 drop rows of the table they
-read, by row number, so rows with null or repeated ids are told apart.
+read by numbers that are the same in every job (common.numbered), so rows with null or
+repeated ids are told apart.
 """
 
 from __future__ import annotations
@@ -12,24 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, exact_dedup, language, mixing, near_dedup
-from gridloom.llm.common import Scratch, small_side, table
+from gridloom.llm.common import Scratch, fresh, numbered, small_side, table
 
 #: Documents whose language is known with less than this probability go, as do those without a letter.
 LEAST_SCORE = 0.5
 
 
-def _row_name(docs: DataFrame) -> str:
-    name = "_row"
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    row = fresh(docs.columns, "row")
+    return numbered(docs, scratch, row), row
 
 
-def _without(docs: DataFrame, dropped: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` without the rows numbered in ``dropped`` (row)."""
-    row = _row_name(docs)
-    gone = scratch.write(dropped.select(F.col("row").alias(row)), "dropped")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(small_side(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def _without(rows: DataFrame, row: str, dropped: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` without those whose numbers are in ``dropped`` (one column), and without the numbers."""
+    gone = scratch.write(dropped.toDF(row), "dropped")
+    return rows.join(small_side(gone), row, "left_anti").drop(row)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,20 +35,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     if model is None:  # nothing to learn from, nothing to reject by
         return docs
-    said = language.predict(docs.select(F.monotonically_increasing_id().alias("row"), "text"), model)
-    return _without(docs, said.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SCORE)), Scratch(spark, "language"))
+    scratch = Scratch(spark, "language")
+    rows, row = _numbered(docs, scratch)
+    said = language.predict(rows.select(F.col(row).alias("row"), "text"), model)
+    return _without(rows, row, said.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("row"), scratch)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    found = exact_dedup.exact_duplicates(docs)
-    return _without(docs, found.where(~F.col("kept")).select(F.col("rid").alias("row")), Scratch(spark, "exact"))
+    scratch = Scratch(spark, "exact")
+    rows, row = _numbered(docs, scratch)
+    found = exact_dedup.exact_duplicates(rows, row_col=row)
+    return _without(rows, row, found.where(~F.col("kept")).select("rid"), scratch)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles (similarity 0.8 or more) connect, the one with the smallest doc_id stays."""
-    found = near_dedup.near_duplicates(docs, width=5, percent=80)
-    return _without(docs, found.where(~F.col("kept")), Scratch(spark, "near"))
+    scratch = Scratch(spark, "near")
+    rows, row = _numbered(docs, scratch)
+    found = near_dedup.near_duplicates(rows, width=5, percent=80, row_col=row)
+    return _without(rows, row, found.where(~F.col("kept")).select("row"), scratch)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
