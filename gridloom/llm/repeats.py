@@ -33,7 +33,7 @@ LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 #: Regions in a block, on average; an anchor with more than HOT of them isn't put into a block.
-BLOCK, HOT = 20_000, 20_000
+BLOCK, HOT = 5_000, 16_000
 PAD = 256
 
 
