@@ -34,7 +34,7 @@ _B = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _M = _RNG.integers(1, 1 << 63, (REGISTERS // BAND, BAND), dtype=np.uint64) | np.uint64(1)
 REMEMBERED = 100_000
 #: A group's classes are compared in blocks of SPREAD times the root of their number, within these bounds, and of so many shingles on a side.
-SPREAD, BLOCK_LEAST, BLOCK_MOST, BLOCK_ITEMS = 2.5, 128, 2048, 500_000
+SPREAD, BLOCK_LEAST, BLOCK_MOST, BLOCK_ITEMS = 1.25, 64, 2048, 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -188,31 +188,29 @@ def _compare(members: DataFrame, queries: DataFrame, sets: DataFrame, scratch: S
 
 
 def _open(members: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of the buckets whose classes are in several components: key, cid, n, their component c, and ``to``, the largest component there."""
+    """Of the buckets whose classes are in several components: ``to``, the component with most classes there, and key, cid, n, c of the classes that aren't of it."""
     placed = scratch.write(with_component(members.select("key", "cid", "n"), comps, "cid", "c").select("key", "cid", "n", "c"), "placed")
-    mixed = scratch.write(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
-    open_ = scratch.write(placed.join(mixed, "key", "left_semi"), "mixed_classes")
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("parts"))
+    tops = scratch.write(parts.where("parts > 1").select("key", F.col("top.c").alias("to")), "tops")
+    open_ = scratch.write(placed.join(tops, "key").where("c != to"), "open")
     scratch.drop(placed)
-    sizes = open_.select("cid", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
-    sized = open_.select("key", "c").distinct().join(sizes, "c")
-    top = scratch.write(sized.groupBy("key").agg(F.max(F.struct("size", "c")).alias("of")).select("key", F.col("of.c").alias("to")), "tops")
-    return scratch.write(open_.join(top, "key"), "open")
+    return open_
 
 
-def _against_largest(open_: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links between a bucket's largest component, its members in such buckets, and the bucket's other classes."""
-    queries = scratch.write(open_.where("c != to").select(F.col("to").alias("group"), "cid", "c", "n").distinct(), "queries")
-    asked = scratch.write(open_.where("c = to").select(F.col("c").alias("group"), "cid", "c", "n").distinct(), "asked")
-    return _compare(asked, queries, sets, scratch, percent)
+def _against_largest(open_: DataFrame, classes: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links between buckets' largest components and the buckets' other classes."""
+    queries = scratch.write(open_.select(F.col("to").alias("group"), "cid", "c", "n").distinct(), "queries")
+    wanted = scratch.write(queries.select("group").distinct(), "groups")
+    asked = with_component(classes, comps, "cid", "c").select(F.col("c").alias("group"), "cid", "c", "n")
+    return _compare(scratch.write(asked.join(wanted, "group", "left_semi"), "asked"), queries, sets, scratch, percent)
 
 
 def _among_rest(open_: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Links between the classes of a bucket that aren't of its largest component: bucket by bucket, those with the same classes once."""
-    rest = open_.where("c != to")
     marks = [F.sum(F.xxhash64("cid", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in (1, 2)]
-    several = rest.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("cid").alias("least"), *marks).where("low < high")
+    several = open_.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("cid").alias("least"), *marks).where("low < high")
     once = scratch.write(several.groupBy("size", "least", "mark1", "mark2").agg(F.min("key").alias("key")).select("key"), "once")
-    queries = scratch.write(rest.join(once, "key").select(F.col("key").alias("group"), "cid", "c", "n"), "rest")
+    queries = scratch.write(open_.join(once, "key").select(F.col("key").alias("group"), "cid", "c", "n"), "rest")
     return _compare(queries, queries, sets, scratch, percent, alike=True)
 
 
@@ -224,11 +222,12 @@ def _with_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, scratch: S
     no link: then none of a bucket's other classes is linked with the largest component
     as it is, and only pairs of the others are left. Each pass but the last unites components.
     """
+    classes = scratch.write(members.select("cid", "n").distinct(), "bucketed")
     while True:
         open_ = _open(members, comps, scratch)
         if open_.isEmpty():
             return comps
-        more = _against_largest(open_, sets, scratch, percent)
+        more = _against_largest(open_, classes, comps, sets, scratch, percent)
         if more.isEmpty():
             break
         comps = scratch.write(more_components(comps, more, scratch), "components")
