@@ -105,6 +105,10 @@ def test_licenses(spark, tmp_path, odd, empty):
     assert all(r.n_base == 0 and r.labels == "" and r.first_word is None for r in licenses.license_scan(odd).collect())
     got = {r.doc_id: r for r in licenses.license_scan(docs(spark, tmp_path, [(1, "x Licensed under the Apache License, Version 2.0. MIT license", "en", "a"), (2, "apache mit license, license", "en", "a"), (3, "Licensed under CC BY-NC 4.0", "en", "a")], "lic")).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].labels, got[1].score) == (2, 4, 9, "apache,mit", "apache,apache-2.0,mit", 1.0)
+    mit = next(c for label, c, _ in licenses.CLAUSES if label == "mit-text")
+    texts = [mit + " again. " + mit, mit[:200], "obtaining a copy " + mit.replace("Software", "Library"), "charge of free, granted hereby is permission", mit.replace("granted", "granted, granted")]
+    more = {r.doc_id: r for r in licenses.license_scan(docs(spark, tmp_path, [(k, t, "en", "a") for k, t in enumerate(texts)], "mit")).collect()}
+    assert [more[k].labels for k in range(5)] == ["mit-text", "", "mit-text", "", ""] and more[0].score == 1.0 and 0 < more[1].score < 0.6 < more[2].score < 1
     assert got[2].base_labels == "mit" and got[3].n_base == 0 and got[3].labels == "cc-by-nc-4.0"
 
 
