@@ -73,22 +73,31 @@ def moments(dist: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
     return joined.groupBy("mean", "rms").agg(F.sum(p * d**3).alias("skew"), F.sum(p * d**4).alias("kurtosis")).withColumn("sigma", F.sqrt(F.greatest(F.col("rms") ** 2 - F.col("mean") ** 2, F.lit(0.0))))
 
 
+def _bins(spark, n: int, name: str) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias(name))
+
+
 def distribution_2d(cells: DataFrame, x: Column, y: Column, xr: tuple, yr: tuple, bins: tuple[int, int], weights: Column, weightnorm: bool = True) -> DataFrame:
-    """bx, by, dat over the pixels that have values; density by weight, or by area."""
-    kept = cells.select(bin_index(finite(x), *xr, bins[0]).alias("bx"), bin_index(finite(y), *yr, bins[1]).alias("by"), weights.alias("w")).where("bx IS NOT NULL AND by IS NOT NULL")
-    area = (xr[1] - xr[0]) / bins[0] * (yr[1] - yr[0]) / bins[1]
-    norm = F.sum("w").over(Window.partitionBy()) * area if weightnorm else F.lit(area * bins[0] * bins[1])
-    return kept.groupBy("bx", "by").agg(F.sum("w").alias("w")).select("bx", "by", (F.col("w") / norm).alias("dat"))
+    """bx, by, loc1, loc2 (the pixel's lower edges) and dat over all pixels, empty ones too; density by weight, or by area."""
+    spark, (nx, ny) = cells.sparkSession, bins
+    kept = cells.select(bin_index(finite(x), *xr, nx).alias("bx"), bin_index(finite(y), *yr, ny).alias("by"), weights.alias("w")).where("bx IS NOT NULL AND by IS NOT NULL")
+    width, height = (xr[1] - xr[0]) / nx, (yr[1] - yr[0]) / ny
+    norm = F.sum("w").over(Window.partitionBy()) * (width * height) if weightnorm else F.lit(width * height * nx * ny)
+    sums = kept.groupBy("bx", "by").agg(F.sum("w").alias("w"))
+    pixels = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("bx"), F.floor(F.col("id") / nx).cast("int").alias("by"))
+    full = pixels.join(sums, ["bx", "by"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))  # a row a pixel
+    return full.select("bx", "by", (F.lit(xr[0]) + F.col("bx") * width).alias("loc1"), (F.lit(yr[0]) + F.col("by") * height).alias("loc2"), F.when(norm != 0, F.col("w") / norm).otherwise(0.0).alias("dat"))
 
 
 def profile(cells: DataFrame, along: Column, values: dict[str, Column], lo: float, hi: float, bins: int, weights: Column) -> DataFrame:
-    """bin, coord and for each value its weighted mean and deviation in the bin."""
+    """bin, coord, norm (the weights' sum) and for each value its weighted mean and deviation in the bin; all bins, 0 in empty ones."""
     at = bin_index(along, lo, hi, bins).alias("bin")
     kept = cells.select(at, weights.alias("w"), *[v.alias(n) for n, v in values.items()]).where("bin IS NOT NULL")
     sums = kept.groupBy("bin").agg(F.sum("w").alias("w"), *[F.sum(F.col(n) * F.col("w")).alias(f"{n}_1") for n in values], *[F.sum(F.col(n) ** 2 * F.col("w")).alias(f"{n}_2") for n in values])
+    full = _bins(cells.sparkSession, bins, "bin").join(F.broadcast(sums), "bin", "left")  # a row a bin
     mean = lambda n, p: F.when(F.col("w") > 0, F.col(f"{n}_{p}") / F.col("w")).otherwise(0.0)
     out = [c for n in values for c in (mean(n, 1).alias(n), F.sqrt(F.greatest(mean(n, 2) - mean(n, 1) ** 2, F.lit(0.0))).alias(f"{n}_sigma"))]
-    return sums.select("bin", (F.lit(lo) + (F.col("bin") + 0.5) * ((hi - lo) / bins)).alias("coord"), *out)
+    return full.select("bin", (F.lit(lo) + (F.col("bin") + 0.5) * ((hi - lo) / bins)).alias("coord"), F.coalesce("w", F.lit(0.0)).cast("double").alias("norm"), *out)
 
 
 def radial_profile(cells: DataFrame, r: Column, values: dict[str, Column], lo: float, hi: float, bins: int, weights: Column, log: bool = True, flux: bool = False) -> DataFrame:
@@ -106,7 +115,37 @@ def projection(cells: DataFrame, px: Column, py: Column, value: Column, weights:
     return sums.select("px", "py", F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(0.0).alias("value"))
 
 
-def relative_to_profile(cells: DataFrame, values: dict[str, Column], lo: float, hi: float, bins: int, along: Column, weights: Column) -> DataFrame:
-    """cells and p_<name>: the vertical profile's value in the cell's bin. The profile is a row a bin, so it is broadcast."""
-    p = profile(cells, along, values, lo, hi, bins, weights).select("bin", *[F.col(n).alias(f"p_{n}") for n in values])
+def window(index: Column, n: int, kind: str = "hamming", beta: float = 14.0) -> Column:
+    """A window of ``n`` places over their root mean square."""
+    import numpy as np
+
+    shape = np.kaiser(n, beta) if kind == "kaiser" else {"hamming": np.hamming, "hanning": np.hanning, "blackman": np.blackman}[kind](n)
+    if n <= 4096:  # as a literal; longer windows are expressions
+        return F.get(F.array(*[F.lit(float(v)) for v in shape / np.sqrt((shape**2).mean())]), index.cast("int"))
+    t = 2 * math.pi * index / (n - 1)
+    wave = {"hamming": 0.54 - 0.46 * F.cos(t), "hanning": 0.5 - 0.5 * F.cos(t), "blackman": 0.42 - 0.5 * F.cos(t) + 0.08 * F.cos(2 * t)}[kind]
+    return wave / float(np.sqrt((shape**2).mean()))
+
+
+def blurred(image: DataFrame, size: tuple[int, int], sigma: float, value: str = "value") -> DataFrame:
+    """An image (px, py, ``value``) after a Gaussian of ``sigma`` pixels, cut at 4 sigma, edges mirrored: one axis after the other, each a join of a row with its kernel."""
+    import numpy as np
+
+    reach = int(4 * sigma + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    taps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in zip(range(-reach, reach + 1), kernel, strict=True)])
+    for axis, n in (("px", size[0]), ("py", size[1])):
+        other = "py" if axis == "px" else "px"
+        # where each pixel is seen from: a tap of the target, mirrored at the edges, lands on it
+        targets = image.sparkSession.range(n).select(F.col("id").cast("int").alias("to"), F.explode(taps).alias("tap"))
+        m = F.pmod(F.col("to") + F.col("tap.d"), F.lit(2 * n))
+        seen = targets.select("to", F.when(m < n, m).otherwise(2 * n - 1 - m).cast("int").alias(axis), F.col("tap.w").alias("w")).groupBy("to", axis).agg(F.sum("w").alias("w"))
+        image = image.join(F.broadcast(seen), axis).groupBy(F.col("to").alias(axis), other).agg(F.sum(F.col(value) * F.col("w")).alias(value))  # pixels along an axis times taps
+    return image.select("px", "py", value)
+
+
+def relative_to_profile(cells: DataFrame, values: dict[str, Column], lo: float, hi: float, bins: int, along: Column, weights: Column, suffix: str = "") -> DataFrame:
+    """cells and p_<name><suffix>: the vertical profile's value in the cell's bin. The profile is a row a bin, so it is broadcast."""
+    p = profile(cells, along, values, lo, hi, bins, weights).select("bin", *[F.col(n).alias(f"p_{n}{suffix}") for n in values])
     return cells.withColumn("bin", bin_index(along, lo, hi, bins)).join(F.broadcast(p), "bin", "left").drop("bin")

@@ -8,40 +8,56 @@ from pyspark.sql import functions as F
 AXES = {"x": "i", "y": "j", "z": "k"}
 
 
-def derivative(cells: DataFrame, value: str, axis: str, spacing: float, periodic: bool = True) -> Column:
-    """Central difference along an axis; at open ends one-sided. Derivatives along one axis share one sort."""
-    at = AXES[axis]
-    line = Window.partitionBy(*[c for c in AXES.values() if c != at]).orderBy(at)
+def derivative(value: str, axis: str, spacing: float | Column, periodic: bool = True, *, index: dict[str, str] = AXES, n: int | Column | None = None, by: tuple[str, ...] = (), edge_order: int = 1) -> Column:
+    """Central difference along an axis over neighbours in place; where there is none, one-sided of ``edge_order`` (1: two points, 2: three).
+
+    A periodic line of ``n`` cells (None: as far as it goes) wraps if both its ends are there.
+    ``by`` names columns that tell lattices apart, such as the level. Cells without any
+    neighbour have 0. Derivatives along one axis share one sort.
+    """
+    at = F.col(index[axis])
+    line = Window.partitionBy(*by, *[c for c in index.values() if c != index[axis]]).orderBy(index[axis])
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = F.lag(value).over(line), F.lead(value).over(line)
-    if periodic:
-        return (F.coalesce(after, F.first(value).over(whole)) - F.coalesce(before, F.last(value).over(whole))) / (2 * spacing)
     here = F.col(value)
-    return F.when(before.isNull(), (after - here) / spacing).when(after.isNull(), (here - before) / spacing).otherwise((after - before) / (2 * spacing))
+    beside = lambda k: F.when(F.lag(at, -k).over(line) == at + k, F.lag(value, -k).over(line))
+    before, after = beside(-1), beside(1)
+    if periodic:
+        first, last = F.first(at).over(whole), F.last(at).over(whole)
+        closed = (first == 0) & (last > first) & (F.lit(True) if n is None else last == n - 1)
+        before = F.coalesce(before, F.when(closed & (at == first), F.last(value).over(whole)))
+        after = F.coalesce(after, F.when(closed & (at == last), F.first(value).over(whole)))
+    up, down = (after - here) / spacing, (here - before) / spacing
+    if edge_order == 2:
+        up = F.coalesce((4 * after - 3 * here - beside(2)) / (2 * spacing), up)
+        down = F.coalesce((3 * here - 4 * before + beside(-2)) / (2 * spacing), down)
+    return F.coalesce((after - before) / (2 * spacing), up, down, F.lit(0.0))
 
 
-def gradient(cells: DataFrame, value: str, spacing: dict[str, float], periodic: bool = True) -> DataFrame:
-    out = cells
-    for axis in "xyz":
-        out = out.withColumn(f"d{value}_d{axis}", derivative(out, value, axis, spacing[axis], periodic))
-    return out
+def gradient(cells: DataFrame, value: str, spacing: dict, periodic: bool | dict = True, **options) -> DataFrame:
+    return _derived(cells, {a: [value] for a in "xyz"}, spacing, periodic, options).withColumnsRenamed({f"_d_{value}_{a}": f"d{value}_d{a}" for a in "xyz"})
 
 
-def divergence(cells: DataFrame, values: tuple[str, str, str], spacing: dict[str, float], periodic: bool = True) -> DataFrame:
-    out = cells
-    for axis, v in zip("xyz", values, strict=True):
-        out = out.withColumn(f"_d{axis}", derivative(out, v, axis, spacing[axis], periodic))
-    return out.withColumn("div", F.col("_dx") + F.col("_dy") + F.col("_dz")).drop("_dx", "_dy", "_dz")
+def _derived(cells: DataFrame, wanted: dict[str, list[str]], spacing: dict, periodic: bool | dict, options: dict) -> DataFrame:
+    """``cells`` and _d_<value>_<axis>; ``n`` in the options may be by axis."""
+    for axis, values in wanted.items():
+        wraps = periodic[axis] if isinstance(periodic, dict) else periodic
+        own = {k: v[axis] if k == "n" and isinstance(v, dict) else v for k, v in options.items()}
+        cells = cells.withColumns({f"_d_{v}_{axis}": derivative(v, axis, spacing[axis], wraps, **own) for v in values})
+    return cells
 
 
-def curl(cells: DataFrame, values: tuple[str, str, str], spacing: dict[str, float], periodic: bool = True) -> DataFrame:
+def divergence(cells: DataFrame, values: tuple[str, str, str], spacing: dict, periodic: bool | dict = True, **options) -> DataFrame:
+    out = _derived(cells, {a: [v] for a, v in zip("xyz", values, strict=True)}, spacing, periodic, options)
+    parts = [f"_d_{v}_{a}" for a, v in zip("xyz", values, strict=True)]
+    return out.withColumn("div", F.col(parts[0]) + F.col(parts[1]) + F.col(parts[2])).drop(*parts)
+
+
+def curl(cells: DataFrame, values: tuple[str, str, str], spacing: dict, periodic: bool | dict = True, **options) -> DataFrame:
     x, y, z = values
-    out = cells
-    for axis, needed in (("x", (y, z)), ("y", (x, z)), ("z", (x, y))):
-        out = out.withColumns({f"_{v}_{axis}": derivative(out, v, axis, spacing[axis], periodic) for v in needed})
-    d = lambda v, a: F.col(f"_{v}_{a}")
+    out = _derived(cells, {"x": [y, z], "y": [x, z], "z": [x, y]}, spacing, periodic, options)
+    d = lambda v, a: F.col(f"_d_{v}_{a}")
     out = out.withColumns({"curl_x": d(z, "y") - d(y, "z"), "curl_y": d(x, "z") - d(z, "x"), "curl_z": d(y, "x") - d(x, "y")})
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return out.drop(*[c for c in out.columns if c.startswith("_d_")])
 
 
 def coarsen(cells: DataFrame, values: list[str], factor: int = 2) -> DataFrame:
@@ -109,5 +125,7 @@ def deposit(particles: DataFrame, axes: dict[str, tuple[Column, float, float, in
     full = grid.join(counts, list(axes), "left").withColumn("density", F.coalesce("n", F.lit(0)).cast("double")).drop("n")
     if not normalize:
         return full
-    mean = F.avg("density").over(Window.partitionBy())
-    return full.withColumn("density", F.when(mean > 0, F.col("density") / mean).otherwise(0.0))
+    # the mean is particles over cells; a row with the total is broadcast
+    mean = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) / total).alias("mean"))
+    full = full.crossJoin(F.broadcast(mean))
+    return full.withColumn("density", F.when(F.col("mean") > 0, F.col("density") / F.col("mean")).otherwise(0.0)).drop("mean")

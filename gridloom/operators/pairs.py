@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,33 +34,49 @@ def pair_table(points: DataFrame, columns: list[str], box: tuple[float, float, f
     return pairs.where("w_1 != 0 AND w_2 != 0").withColumn("r", F.sqrt(F.col("lx") ** 2 + F.col("ly") ** 2 + F.col("lz") ** 2))
 
 
-def binned(pairs: DataFrame, along: Column, amounts: dict[str, Column], lo: float, hi: float, bins: int, orders: int = 2, within: Column | None = None) -> DataFrame:
-    """bin, n, weight and for each amount the mean of its powers 1 .. orders over bins [lo, hi)."""
-    kept = pairs.select(F.floor((along - lo) / (hi - lo) * bins).cast("int").alias("bin"), (F.col("w_1") + F.col("w_2")).alias("w"), (F.lit(True) if within is None else within).alias("_in"), *[a.alias(n) for n, a in amounts.items()])
+def binned(pairs: DataFrame, along: Column, amounts: dict[str, Column], lo: float, hi: float, bins: int, orders: int = 2, within: Column | None = None, log: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """bin, n, weight and for each amount the mean of its powers 1 .. orders over bins [lo, hi), equal in the separation or in its logarithm."""
+    if log:
+        along, lo, hi = F.log10(F.when(along > 0, along)), math.log10(lo), math.log10(hi)
+    kept = pairs.select(F.floor((along - lo) / (hi - lo) * bins).cast("int").alias("bin"), (F.col("w_1") + F.col("w_2")).alias("w"), (F.lit(True) if within is None else within).alias("_in"), *by, *[a.alias(n) for n, a in amounts.items()])
     kept = kept.where((F.col("bin") >= 0) & (F.col("bin") < bins) & F.col("_in"))
-    return kept.groupBy("bin").agg(F.count("*").alias("n"), F.sum("w").alias("weight"), *[F.avg(F.col(n) ** p).alias(f"{n}_{p}") for n in amounts for p in range(1, orders + 1)])
+    return kept.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("w").alias("weight"), *[F.avg(F.col(n) ** p).alias(f"{n}_{p}") for n in amounts for p in range(1, orders + 1)])
+
 
+def within_box(points: DataFrame, xyz: list[float] | None) -> DataFrame:
+    """The points in an inclusive box (2, 4 or 6 bounds: along x, then y, then z)."""
+    for c, lo, hi in zip("xyz", (xyz or [])[::2], (xyz or [])[1::2], strict=False):
+        points = points.where(F.col(c).between(lo, hi))
+    return points
 
-def structure_function(points: DataFrame, fields: list[str], lo: float, hi: float, bins: int, orders: int = 2, **pairs) -> DataFrame:
-    table = pair_table(points, fields, **pairs)
-    return binned(table, F.col("r"), {f: F.abs(F.col(f"{f}_2") - F.col(f"{f}_1")) for f in fields}, lo, hi, bins, orders)
+
+def structure_function(points: DataFrame, fields: list[str], lo: float, hi: float, bins: int, orders: int = 2, log: bool = False, xyz: list[float] | None = None, weights: list[str] | None = None, **pairs) -> DataFrame:
+    """Of |w2 f2 - w1 f1| for each field. ``weights``: columns that are weights one after another, told apart by a column ``weighting``; else the column w."""
+    points, out = within_box(points, xyz), None
+    for name in weights or [None]:
+        here = points if name is None else points.withColumn("w", F.col(name))
+        table = pair_table(here, fields, **pairs)
+        one = binned(table, F.col("r"), {f: F.abs(F.col("w_2") * F.col(f"{f}_2") - F.col("w_1") * F.col(f"{f}_1")) for f in fields}, lo, hi, bins, orders, log=log)
+        one = one if name is None else one.withColumn("weighting", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _difference(vector: tuple[str, str, str]) -> tuple[Column, Column, Column]:
     return tuple(F.col(f"{v}_2") - F.col(f"{v}_1") for v in vector)
 
 
-def helmholtz(points: DataFrame, vector: tuple[str, str, str], lo: float, hi: float, bins: int, orders: int = 2, **pairs) -> DataFrame:
+def helmholtz(points: DataFrame, vector: tuple[str, str, str], lo: float, hi: float, bins: int, orders: int = 2, log: bool = False, xyz: list[float] | None = None, **pairs) -> DataFrame:
     """comp: the difference along the separation; sol: what is across it."""
     dx, dy, dz = _difference(vector)
     comp = F.abs(dx * F.col("lx") + dy * F.col("ly") + dz * F.col("lz")) / (F.col("r") + 1e-10)
     sol = F.sqrt(F.greatest(dx**2 + dy**2 + dz**2 - comp**2, F.lit(0.0)))
-    return binned(pair_table(points, list(vector), **pairs), F.col("r"), {"comp": comp, "sol": sol}, lo, hi, bins, orders)
+    return binned(pair_table(within_box(points, xyz), list(vector), **pairs), F.col("r"), {"comp": comp, "sol": sol}, lo, hi, bins, orders, log=log)
 
 
-def anisotropic(points: DataFrame, velocity: tuple[str, str, str], field: tuple[str, str, str], lo: float, hi: float, bins: int, cos_parallel: float = 0.9, cos_perpendicular: float = 0.1, orders: int = 2, **pairs) -> DataFrame:
+def anisotropic(points: DataFrame, velocity: tuple[str, str, str], field: tuple[str, str, str], lo: float, hi: float, bins: int, cos_parallel: float = 0.9, cos_perpendicular: float = 0.1, orders: int = 2, log: bool = False, xyz: list[float] | None = None, **pairs) -> DataFrame:
     """Differences of the velocity and the magnetic field, whole and across the local mean field; kind: all, parallel, perpendicular separations."""
-    table = pair_table(points, [*velocity, *field], **pairs)
+    table = pair_table(within_box(points, xyz), [*velocity, *field], **pairs)
     mean = [0.5 * (F.col(f"{b}_1") + F.col(f"{b}_2")) for b in field]
     size = F.sqrt(sum((m**2 for m in mean), F.lit(0.0)))
     table = table.withColumn("_b", size).where((F.col("_b") > TINY) & (F.col("r") > TINY))
@@ -71,8 +89,8 @@ def anisotropic(points: DataFrame, velocity: tuple[str, str, str], field: tuple[
         whole = sum((c**2 for c in d), F.lit(0.0))
         part = sum((c * u for c, u in zip(d, unit, strict=True)), F.lit(0.0))
         amounts |= {name: F.sqrt(whole), f"{name}_perp": F.sqrt(F.greatest(whole - part**2, F.lit(0.0)))}
-    out = None
-    for kind, l, within in (("all", F.col("r"), None), ("parallel", F.col("l_par"), F.col("_cos") > cos_parallel), ("perpendicular", F.col("l_perp"), F.col("_cos") <= cos_perpendicular)):
-        one = binned(table, l, amounts, lo, hi, bins, orders, within).withColumn("kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # the three kinds of separation are rows of one pass over the pairs
+    kinds = (("all", F.col("r"), F.lit(True)), ("parallel", F.col("l_par"), F.col("_cos") > cos_parallel), ("perpendicular", F.col("l_perp"), F.col("_cos") <= cos_perpendicular))
+    rows = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), l.alias("l"), w.alias("in")) for k, l, w in kinds]), lambda s: s["in"]))
+    each = table.select("w_1", "w_2", *[a.alias(n) for n, a in amounts.items()], rows.alias("_s")).withColumn("kind", F.col("_s.kind"))
+    return binned(each, F.col("_s.l"), {n: F.col(n) for n in amounts}, lo, hi, bins, orders, log=log, by=("kind",))

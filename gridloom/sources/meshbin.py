@@ -3,8 +3,10 @@
 ``spark.dataSource.register(MeshBinSource)``, then
 ``spark.read.format("meshbin").load(path)``: one row a cell. Blocks have equal
 sizes unless the file says otherwise, so the block table is read by seeking from
-header to header, and each partition reads its own range of blocks. The path must
-be one that executors can open (a shared mount).
+header to header, and each partition reads its own range of blocks. The options
+``columns`` (variables, comma-separated) and ``box`` (six bounds) leave the other
+variables, and the blocks outside the box, unread. The path must be one that executors
+can open (a shared mount).
 """
 
 from __future__ import annotations
@@ -95,45 +97,63 @@ def write_meshbin(path: str, blocks: list[dict], variables: list[str], parameter
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, first: int, offsets: list[int]):
-        self.path, self.first, self.offsets = path, first, offsets
+    def __init__(self, path: str, blocks: list[tuple[int, int]]):
+        self.path, self.blocks = path, blocks
+
+
+def _geometry(f, head: Head, at: int) -> tuple[tuple, tuple, np.ndarray, int]:
+    """(cells by x, y, z; logical place and level; bounds; where the variables start) of the block at ``at``."""
+    f.seek(at)
+    b = struct.unpack("=6i", f.read(24))
+    logical = struct.unpack("=4i", f.read(16))
+    bounds = np.frombuffer(f.read(6 * int(head.location[1])), f"<{head.location}").astype(float)
+    return (b[1] - b[0] + 1, b[3] - b[2] + 1, b[5] - b[4] + 1), logical, bounds, f.tell()
 
 
 class MeshBinReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, blocks: int):
-        self.path, self.schema, self.blocks = path, schema, blocks
+    def __init__(self, path: str, schema: StructType, blocks: int, box: list[float] | None):
+        self.path, self.schema, self.blocks, self.box = path, schema, blocks, box
 
     def partitions(self):
-        offsets = block_offsets(self.path, read_head(self.path))
-        return [_Range(self.path, k, offsets[k : k + self.blocks]) for k in range(0, len(offsets), self.blocks)]
+        head = read_head(self.path)
+        offsets = list(enumerate(block_offsets(self.path, head)))
+        if self.box:
+            with open(self.path, "rb") as f:
+                meets = lambda g: all(g[2 * k] <= self.box[2 * k + 1] and g[2 * k + 1] >= self.box[2 * k] for k in range(3))
+                offsets = [(mb, at) for mb, at in offsets if meets(_geometry(f, head, at)[2])]
+        return [_Range(self.path, offsets[k : k + self.blocks]) for k in range(0, len(offsets), self.blocks)] or [_Range(self.path, [])]
 
     def read(self, partition):
         head = read_head(partition.path)
+        wanted, size = [head.variables.index(v) for v in self.schema.names[len(INDEX + BLOCK + GEOMETRY) :]], int(head.value[1])
         with open(partition.path, "rb") as f:
-            for mb, at in enumerate(partition.offsets, partition.first):
-                f.seek(at)
-                b = struct.unpack("=6i", f.read(24))
-                nx, ny, nz = b[1] - b[0] + 1, b[3] - b[2] + 1, b[5] - b[4] + 1
-                logical = struct.unpack("=4i", f.read(16))
-                geometry = np.frombuffer(f.read(6 * int(head.location[1])), f"<{head.location}").astype(float)
-                n = nx * ny * nz
-                data = np.frombuffer(f.read(n * len(head.variables) * int(head.value[1])), f"<{head.value}").reshape(len(head.variables), n)
+            for mb, at in partition.blocks:
+                (nx, ny, nz), logical, bounds, start = _geometry(f, head, at)
+                n, data = nx * ny * nz, []
+                for v in wanted:
+                    f.seek(start + v * n * size)
+                    data.append(np.frombuffer(f.read(n * size), f"<{head.value}").astype(float))
                 k, rest = np.divmod(np.arange(n, dtype=np.int32), nx * ny)
                 j, i = np.divmod(rest, nx)
-                columns = [np.full(n, mb, np.int32), k, j, i, *(np.full(n, x, np.int32) for x in logical), *(np.full(n, x) for x in geometry), *(d.astype(float) for d in data)]
+                columns = [np.full(n, mb, np.int32), k, j, i, *(np.full(n, x, np.int32) for x in logical), *(np.full(n, x) for x in bounds), *data]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=self.schema.names)
 
 
 class MeshBinSource(DataSource):
-    """Options: path; blocks_per_partition (64)."""
+    """Options: path; blocks_per_partition (64); columns and box, see above."""
 
     @classmethod
     def name(cls):
         return "meshbin"
 
     def schema(self):
+        there = read_head(self.options["path"]).variables
+        wanted = self.options["columns"].split(",") if "columns" in self.options else there
+        if missing := [v for v in wanted if v not in there]:
+            raise ValueError(f"no such variables: {missing}")
         whole = [StructField(c, IntegerType()) for c in INDEX + BLOCK]
-        return StructType(whole + [StructField(c, DoubleType()) for c in GEOMETRY + read_head(self.options["path"]).variables])
+        return StructType(whole + [StructField(c, DoubleType()) for c in GEOMETRY + wanted])
 
     def reader(self, schema):
-        return MeshBinReader(self.options["path"], schema, int(self.options.get("blocks_per_partition", 64)))
+        box = [float(b) for b in self.options["box"].split(",")] if "box" in self.options else None
+        return MeshBinReader(self.options["path"], schema, int(self.options.get("blocks_per_partition", 64)), box)

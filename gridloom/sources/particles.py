@@ -6,7 +6,8 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -88,6 +89,22 @@ def write_particles(path: str, reals: dict[str, np.ndarray], ints: dict[str, np.
                 f.write(np.asarray(c, kind).tobytes())
 
 
+#: Names that mean the same, and fields of places and velocities.
+ALIASES = {"vx": "velx", "vy": "vely", "vz": "velz"}
+FORMULAS = {"r": "sqrt(x*x + y*y + z*z)", "R": "sqrt(x*x + y*y)", "vtot": "sqrt(velx*velx + vely*vely + velz*velz)", "theta": "acos(try_divide(z, sqrt(x*x + y*y + z*z)))", "phi": "atan2(y, x)"}
+
+
+def field(columns: list[str], name: str) -> Column:
+    """A particle column, or a derived one. What isn't there is an error, not zeros."""
+    name = ALIASES.get(name, name) if name not in columns else name
+    if name in columns:
+        return F.col(f"`{name}`")
+    needed = ("velx", "vely", "velz") if name == "vtot" else ("x", "y", "z")
+    if name not in FORMULAS or not set(needed) <= set(columns):
+        raise ValueError(f"No particle field called {name!r}")
+    return F.expr(FORMULAS[name])
+
+
 def read_vtk(spark: SparkSession, path: str) -> DataFrame:
     """x, y, z, gid, tag of a legacy binary VTK file (big-endian points, then two scalar fields)."""
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def follow(spark: SparkSession, path: str, schema, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Starts a query that appends operator(new cells), marked with the batch, to the Parquet table ``out``."""
-    from pyspark.sql import functions as F
+def write_batch(result: DataFrame, out: str, number: int) -> None:
+    """Writes a batch's folder, ``batch=number`` of the table ``out``, over whatever an attempt before left there."""
+    result.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    def each(batch: DataFrame, number: int) -> None:
-        operator(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
+def follow(spark: SparkSession, path: str, schema, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Starts a query that writes operator(new cells) to the Parquet table ``out``, which is split by batch; a batch that is tried again replaces its own rows."""
+    each = lambda batch, number: write_batch(operator(batch), out, number)
     return spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
