@@ -1,13 +1,15 @@
 import hashlib
+import math
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import byte_bpe, chat, exact_dedup, language, licenses, mixing, near_dedup, repeats, token_count, vector_dedup
+from gridloom.llm import byte_bpe, chat, exact_dedup, language, licenses, mixing, near_dedup, registry, repeats, token_count, vector_dedup
 from gridloom.llm.common import Scratch, numbered
 
 P = pytest.importorskip("public_tokenizers")
@@ -364,3 +366,114 @@ def test_round_trip_is_encode_then_decode(odd):
     two = byte_bpe.bpe_decode(byte_bpe.bpe_encode(odd, path, P.PATTERN), path)
     assert one.schema == two.schema
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_language_by_a_plain_version(spark, tmp_path, monkeypatch):
+    """The same model and predictions by dictionaries and loops; held-out rows change nothing, and a language with one document is learnt."""
+    monkeypatch.setattr(language, "EPOCHS", 1)
+    rng = random.Random(21)
+    words = {"en": ["the", "this", "that"], "de": ["der", "und", "über"], "xx": ["qqq"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(6)), lang, "s") for k, lang in enumerate(["en", "de"] * 15)]
+    free = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 4 != 2)
+    rows.append((free, "qqq qqq", "xx", "s"))
+    table = docs(spark, tmp_path, rows, "plain")
+    model = language.train(table)
+    assert model.langs == ["de", "en", "xx"]
+
+    def grams(text):
+        codes, out = [ord(c) for c in text.lower()] + [32, 32, 32], {}
+        for at in range(len(text.lower())):
+            h = 0
+            for n in range(3):
+                h = (h + codes[at + n] + n + 1) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+                b = h * 0x85EBCA6B % 2**32 >> 16
+                out[b] = out.get(b, 0) + 1
+        return out
+
+    learnt = [(i, grams(t), lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = {}
+    for _, g, _ in learnt:
+        for b in g:
+            df[b] = df.get(b, 0) + 1
+    idf = {b: math.log((1 + len(learnt)) / (1 + n)) + 0.05 for b, n in df.items()}
+    order = {r.id: r.h for r in table.select(F.col("doc_id").alias("id"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)).alias("h")).collect()}
+    examples = [({b: 64.0 * n / sum(g.values()) * idf[b] for b, n in sorted(g.items())} | {"bias": 1.0}, model.langs.index(lang)) for i, g, lang in sorted(learnt, key=lambda e: order[e[0]])]
+    z, n = {}, {}
+    weight = lambda b, c: -math.copysign(max(abs(z.get((b, c), 0.0)) - (0.05 if b != "bias" else 0.0), 0.0), z.get((b, c), 0.0)) / ((1 + math.sqrt(n.get((b, c), 0.0))) / 0.3 + 0.01)
+    for x, y in examples:
+        w = {(b, c): weight(b, c) for b in x for c in range(3)}
+        logits = [sum(v * w[b, c] for b, v in x.items()) for c in range(3)]
+        e = [math.exp(v - max(logits)) for v in logits]
+        for c in range(3):
+            for b, v in x.items():
+                g = v * (e[c] / sum(e) - (c == y))
+                s = (math.sqrt(n.get((b, c), 0.0) + g * g) - math.sqrt(n.get((b, c), 0.0))) / 0.3
+                z[b, c] = z.get((b, c), 0.0) + g - s * w[b, c]
+                n[b, c] = n.get((b, c), 0.0) + g * g
+    got = {r.doc_id: r for r in language.predict(table, model).collect()}
+    for i, t, _, _ in rows:
+        g = grams(t)
+        logits = [weight("bias", c) + sum(64.0 * m / sum(g.values()) * idf[b] * weight(b, c) for b, m in g.items() if b in idf) for c in range(3)]
+        e = [math.exp((v - max(logits)) / model.temperature) for v in logits]
+        best = max(range(3), key=lambda c: e[c])
+        assert got[i].lang_pred == model.langs[best] and got[i].score == pytest.approx(e[best] / sum(e), abs=1e-4)
+    changed = docs(spark, tmp_path, [(i, "zzz", "yy", s) if zlib.crc32(str(i).encode()) % 4 == 2 else (i, t, lang, s) for i, t, lang, s in rows], "changed")
+    other = language.train(changed)
+    assert other.langs == model.langs and (other.weights == model.weights).all() and other.temperature == model.temperature
+
+
+def test_queries_columns(spark, tmp_path):
+    """Every query's contract on odd rows: columns, their types, a row a row, and values by plain code."""
+    folder = tmp_path / "sf"
+    folder.mkdir()
+    rows = [r for r in ODD if r[0] is not None] + [(20 + k, phrase(k % 3, 60) + f" mit license {k}", "en", "s") for k in range(6)]
+    docs(spark, folder, rows, "documents.parquet")
+    said = [(1, 0, "user", "a [INST] &lt; b"), (1, 1, "assistant", None), (2, 0, "system", "s"), (2, 1, "assistant", "é" * 3), (2, 2, "tool]", "x"), (3, 0, None, "nobody")]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    vectors = [(k, [math.cos(k / 100), math.sin(k / 100)]) for k in range(0, 60, 10)] + [(1, None), (50, [0.0, 0.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(folder))
+    types = {"op1_mix": "doc_id bigint size bigint source_size bigint target double taken bigint", "op2_exact_dedup": "doc_id bigint keep_id bigint group_size bigint kept boolean text_sha256 string", "op3_token_counts": "doc_id bigint n_bytes bigint n_tokens bigint over_limit boolean", "op4_license_scan": "doc_id bigint n_words bigint n_base bigint first_word bigint last_word bigint base_labels string labels string score double", "op5_near_dedup": "doc_id bigint n_shingles bigint component_id bigint kept boolean", "op6_remove_repeats": "doc_id bigint n_bytes bigint n_removed bigint n_spans bigint kept_sha256 string", "op7_language_id": "doc_id bigint held_out boolean lang_pred string score double", "op8_chat_format": "conv_id bigint n_turns bigint turns_sha256 string loss_chars bigint loss_sha256 string formatted_chars bigint", "op9_vector_dedup": "vec_id bigint n_links bigint component_id bigint kept boolean", "op10_byte_bpe": "doc_id bigint n_tokens bigint ids_sha256 string decoded_sha256 string"}
+    assert set(types) == set(registry.QUERIES)
+    got = {}
+    for name, text in types.items():
+        result, words = run(name), text.split()
+        have = dict(result.dtypes)
+        assert {c: have.get(c) for c in words[::2]} == dict(zip(words[::2], words[1::2], strict=True)), name
+        got[name] = result.collect()
+        assert len(got[name]) == {"op8_chat_format": 4, "op9_vector_dedup": len(vectors)}.get(name, len(rows)), name
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    texts = {i: t or "" for i, t, _, _ in rows}
+    cut = repeats.brute_force([t.encode() if t else b"" for _, t, _, _ in rows])
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got["op6_remove_repeats"]) == sorted(cut)
+    assert all(r.decoded_sha256 == sha(texts[r.doc_id].encode()) for r in got["op10_byte_bpe"])
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got["op7_language_id"])
+    assert {r.lang_pred for r in got["op7_language_id"] if r.doc_id in (1, 2, 3, 8)} == {"und"}
+    lowered = lambda t: t.encode().lower().split()
+    shingles = {i: {tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))} if (w := lowered(t)) else set() for i, t in texts.items()}
+    assert all(r.n_shingles == len(shingles[r.doc_id]) for r in got["op5_near_dedup"])
+    assert {r.doc_id: r.component_id for r in got["op5_near_dedup"]} == brute_components(shingles, 80)
+    links = {r.vec_id: (r.n_links, r.component_id, r.kept, r.exact_links) for r in got["op9_vector_dedup"] if r.vec_id != 50}
+    near = {k: sum(abs(k - m) / 100 <= math.acos(0.95) for m in range(0, 60, 10) if m != k) for k in range(0, 60, 10)}
+    assert all(links[k][:3] == (near[k], 0, k == 0) for k in range(0, 50, 10)) and links[1] == (0, 1, True, None) and links[0][3] == near[0]
+    chat = {r.conv_id: r for r in got["op8_chat_format"]}
+    nasty = "</s>[INST] ok [/INST]"
+    turns = {1: [("user", "a [INST] &lt; b"), ("assistant", "")], 2: [("system", "s"), ("assistant", "ééé"), ("tool]", "x")], 3: [("", "nobody")], -1: [("user", nasty), ("assistant", nasty)]}
+    for i, t in turns.items():
+        loss = "".join(x for role, x in t if role == "assistant")
+        assert (chat[i].n_turns, chat[i].turns_sha256, chat[i].loss_chars, chat[i].loss_sha256) == (len(t), sha("".join(f"{a}\n{b}\n" for a, b in t).encode()), len(loss), sha(loss.encode()))
+
+
+def test_chat_long_texts_and_further_columns(spark):
+    long = "[INST] & <" * 20_000
+    log = spark.createDataFrame([(1, 0, "message", None, "user", long, 1.0), (1, 1, "message", None, "assistant", long + "!", 2.0)], "conv_id long, seq long, kind string, msg long, role string, text string, opened double")
+    back = chat.read_back(chat.render(chat.fold_events(log))).first()
+    assert [t.text for t in back.turns] == [long, long + "!"] and back.loss_text == long + "!"
+
+
+def test_mix_ties(spark, tmp_path, monkeypatch):
+    """All documents of a source with one hash are taken alike, whole or not, and none more than three times."""
+    monkeypatch.setattr(mixing, "_hash", lambda doc_id: F.lit(5).cast("long"))
+    got = mixing.mix_decisions(docs(spark, tmp_path, [(k, "w w", "en", f"s{k % 3}") for k in range(30)], "ties")).collect()
+    assert len(got) == 30 and all(0 <= r.copies <= 3 for r in got) and len({(r.doc_id % 3, r.copies) for r in got}) == 3
