@@ -4,8 +4,7 @@ A document's word shingles, hashed, fill ``REGISTERS`` registers: each is the
 smallest of exponentially distributed hash values, kept as its truncated logarithm
 to base ``BASE``. Registers merge by max() and agree with the sets' similarity, so
 bands of them are keys under which similar documents meet. Documents with equal
-sets are one class, by the SHA-256 of the whole sorted set; its number is its first
-row's. In a band's bucket every class is paired with one centre only; of the pairs,
+sets are one class, by the SHA-256 of the whole sorted set. In a band's bucket every class is paired with one centre only; of the pairs,
 those that the joint likelihood of the two sketches puts far below the threshold go,
 the others are confirmed on the full sets. Where the classes of a bucket still are in
 different components, they are compared on full sets, in blocks within tasks that
@@ -34,7 +33,7 @@ _B = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _M = _RNG.integers(1, 1 << 63, (REGISTERS // BAND, BAND), dtype=np.uint64) | np.uint64(1)
 REMEMBERED = 100_000
 #: A group's classes are compared in blocks of SPREAD times the root of their number, within these bounds, and of so many shingles on a side.
-SPREAD, BLOCK_LEAST, BLOCK_MOST, BLOCK_ITEMS = 1.25, 64, 2048, 500_000
+SPREAD, BLOCK_LEAST, BLOCK_MOST, BLOCK_ITEMS = 2.0, 96, 2048, 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -180,8 +179,9 @@ def _compare(members: DataFrame, queries: DataFrame, sets: DataFrame, scratch: S
     every = lambda lo, hi: F.explode(F.sequence(lo, hi))
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     first, last = F.lit(0), lambda n: F.col(n) - 1
-    inside = members.join(grid, "group").withColumn("x", own("rows")).select("group", "cid", "c", "x", every(F.col("x") if alike else first, last("columns")).alias("y")).join(sets, "cid")
-    asked = queries.join(grid, "group").withColumn("y", own("columns")).select("group", "cid", "c", "y", every(first, F.col("y") if alike else last("rows")).alias("x")).join(sets, "cid")
+    inside = members.join(grid, "group").withColumn("x", own("rows")).select("group", "cid", "c", "x", every(F.col("x") if alike else first, last("columns")).alias("y"))
+    asked = queries.join(grid, "group").withColumn("y", own("columns")).select("group", "cid", "c", "y", every(first, F.col("y") if alike else last("rows")).alias("x"))
+    inside, asked = (sets.join(small_side(rows), "cid") for rows in (inside, asked))  # where few are compared, the other sets stay where they are
     asked = asked.select(*[F.col(k).alias(k) for k in asked.columns])  # columns of its own, where both sides come from ``sets``
     key = ["group", "x", "y"]
     return scratch.write(inside.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_linked(percent), "a long, b long"), "links")
@@ -235,6 +235,16 @@ def _with_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, scratch: S
     return comps if more.isEmpty() else scratch.write(more_components(comps, more, scratch), "components")
 
 
+def _with_class(sketched: DataFrame) -> DataFrame:
+    """``sketched`` and cid, the class's number: a hash of the set's digest by which no two digests that are there agree, so that equal numbers are equal digests."""
+    for seed in range(100):
+        numbers = sketched.withColumn("cid", F.when(F.col("n") > 0, F.xxhash64(F.lit(seed), "digest")))
+        twice = numbers.where("n > 0").groupBy("cid").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high")
+        if twice.isEmpty():
+            return numbers.drop("digest")
+    raise ValueError("no hash tells the sets apart")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept: a row a row of ``docs``.
 
@@ -254,12 +264,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
     texts = (texts if row_col else numbered(texts, scratch)).select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text"))
     sketched = scratch.write(texts.mapInArrow(_sketch(width), "doc_id long, row long, n long, digest binary, keys array<long>, regs binary"), "sketches")
-    classes = scratch.write(sketched.where("n > 0").groupBy("digest").agg(F.min("row").alias("cid")), "classes")
+    sketched = _with_class(sketched)
 
-    firsts = sketched.where("n > 0").join(small_side(classes.select(F.col("cid").alias("row"))), "row", "left_semi").withColumnRenamed("row", "cid")
-    keyed = firsts.select("cid", "n", F.explode("keys").alias("key"))
-    buckets = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    shared = scratch.write(keyed.join(buckets, "key"), "shared")
+    keyed = sketched.where("n > 0").select("cid", "n", F.explode("keys").alias("key"))
+    buckets = scratch.write(keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), "buckets")
+    shared = scratch.write(keyed.join(buckets, "key").distinct(), "shared")
     # the centre of a bucket's star is the class that meets most others: of near copies, what they were copied from
     degree = scratch.write(shared.groupBy("cid").agg(F.sum("size").alias("degree")), "degrees")
     centres = scratch.write(shared.select("key", "cid").join(degree, "cid").groupBy("key").agg(F.max(F.struct("degree", "cid")).alias("top")).select("key", F.col("top.cid").alias("a")), "centres")
@@ -268,18 +277,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = scratch.write(members.where("cid != a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("shared")), "stars")
 
     met = small_side(degree.select("cid"))
-    chosen = scratch.write(firsts.join(met, "cid", "left_semi").select("cid", "n", "regs"), "met")
-    sets = scratch.write(texts.select(F.col("row").alias("cid"), "text").join(met, "cid", "left_semi").mapInArrow(_sets(width), "cid long, items array<long>"), "sets")
+    chosen = sketched.select("cid", "row", "n", "regs").join(met, "cid", "left_semi").groupBy("cid").agg(F.min_by(F.struct("row", "n", "regs"), "row").alias("r"))
+    chosen = scratch.write(chosen.select("cid", "r.*"), "met")
+    sets = scratch.write(texts.select("row", "text").join(small_side(chosen.select("row", "cid")), "row").select("cid", "text").mapInArrow(_sets(width), "cid long, items array<long>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("a", "b")
+        both = scratch.write(pairs.select("a", "b"), "pairs")
         for side in "ab":
-            both = both.join(chosen.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}")), side)
+            both = chosen.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}")).join(small_side(both) if side == "a" else both, side)
         # sizes alone can rule a pair out
         both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        both = both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely, "a long, b long")
+        both = scratch.write(both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely, "a long, b long"), "likely")
         for side in "ab":
-            both = both.join(sets.select(F.col("cid").alias(side), F.col("items").alias(f"items_{side}")), side)
+            both = sets.select(F.col("cid").alias(side), F.col("items").alias(f"items_{side}")).join(small_side(both) if side == "a" else both, side)
         common = F.size(F.array_intersect("items_a", "items_b"))
         return both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
@@ -297,8 +307,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comps = _with_rest(members, comps, sets, scratch, percent)
 
     # tables with a row a key, so that adaptive execution can split a hot set's or root's rows
-    root = scratch.write(classes.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("root")), "roots")
-    rows = sketched.select("doc_id", "row", "n", "digest").join(root, "digest", "left").drop("digest")
+    comps = scratch.write(comps.select(F.col("id").alias("cid"), "component"), "roots")
+    rows = sketched.select("doc_id", "row", "n", "cid").join(comps, "cid", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("component", "cid"))).drop("cid", "component")
     groups = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
     groups = scratch.write(groups.select("root", "least", F.col("first.row").alias("keep_row")), "groups")
     rows = rows.join(small_side(groups), "root", "left")
