@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import bounded_batches, fresh, table
 
 #: Pre-tokens, pieces and pairs that a task remembers; beyond, it starts afresh. Longer ones are encoded each time.
-REMEMBERED, REMEMBERED_BYTES = 100_000, 64
+REMEMBERED, REMEMBERED_BYTES, WINDOW_BYTES = 100_000, 64, 6
 
 
 @lru_cache(2)
@@ -44,12 +44,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     """Merges the lowest-ranked adjacent pair, leftmost first, until no pair is a token."""
-    parts = [piece[k : k + 1] for k in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min((ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
-        if best == 1 << 60:
-            break
+    parts, get, none = [piece[k : k + 1] for k in range(len(piece))], ranks.get, 1 << 60
+    pairs = [get(piece[k : k + 2], none) for k in range(len(piece) - 1)]
+    while pairs and (best := min(pairs)) != none:
+        at = pairs.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+        if at < len(pairs):
+            pairs[at] = get(parts[at] + parts[at + 1], none)
     return [ranks[p] for p in parts]
 
 
@@ -77,8 +81,19 @@ class Encoder:
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
-        rank = self.ranks.get(piece)
-        return (rank,) if rank is not None and piece not in self.irregular else tuple(merge(self.ranks, piece))
+        """A window's ids; windows come back often."""
+        found = self.pieces.get(piece)
+        if found is None:
+            rank = self.ranks.get(piece)
+            found = (rank,) if rank is not None and piece not in self.irregular else tuple(merge(self.ranks, piece))
+            self.remember(piece, found)
+        return found
+
+    def remember(self, piece: bytes, ids: tuple[int, ...]) -> None:
+        if len(piece) <= WINDOW_BYTES:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            self.pieces[piece] = ids
 
     def compatible(self, a: int, b: int) -> bool:
         found = self.pairs.get((a, b))
@@ -101,17 +116,21 @@ class Encoder:
             k *= 2
 
     def tree(self, piece: bytes) -> tuple[int, ...]:
-        """Both halves' ids, joined; equal pieces are reduced once."""
-        if len(piece) == 1:
+        """Both halves' ids, joined; short pieces are reduced once."""
+        size = len(piece)
+        if size == 1:
             return (self.ranks[piece],)
         found = self.pieces.get(piece)
         if found is None:
-            half = len(piece) // 2
-            found = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
-            if len(piece) <= REMEMBERED_BYTES:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
+            half = size // 2
+            left, right = self.tree(piece[:half]), self.tree(piece[half:])
+            if self.pairs.get((left[-1], right[0])):  # known to be compatible
+                self.joins += 1
+                found = left + right
+            else:
+                found = self.join(left, right)
+            if size <= WINDOW_BYTES:
+                self.remember(piece, found)
         return found
 
     def piece(self, text: str) -> bytes:
