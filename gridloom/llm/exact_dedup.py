@@ -1,11 +1,13 @@
 """Exact duplicates by a tree-merge of sorted digest runs.
 
-Each partition sorts its (digest, id) pairs and keeps one row a digest: a run.
-Then runs meet in rounds: in round r the runs of ``FAN`` neighbouring partitions,
-cut into ranges of the digest, are merged by a stream over their sorted rows that
-keeps the preferred identifier and adds up the counts. After log_FAN(partitions)
-rounds every range has one run. A task never holds more than an Arrow batch
-besides the sort, which spills; copies are gone before they are shuffled.
+Each partition sorts its (digest, id) pairs and keeps one row a digest: a run, which is
+a sequence of packed chunks of sorted rows. Then runs meet in rounds: in round r the
+runs of ``FAN`` neighbouring nodes, cut into ranges of the digest, are merged. Only the
+chunks are put in order, by their first key; their rows stay packed and sorted on the
+way. Whatever is below the first key of the newest chunk can't come again, so a merge
+holds one open chunk of each run besides the new ones; of equal keys it keeps the
+preferred identifier and adds up the counts. After log_FAN(partitions) rounds every
+range has one run. Copies are gone before they are shuffled.
 """
 
 from __future__ import annotations
@@ -14,59 +16,133 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Scratch, ascii_lower, numbered, table
+from gridloom.llm.common import Scratch, ascii_lower, bounded_batches, numbered, table
 
 FAN = 8
 #: Digest ranges. Their number, not a group's size, decides what one task merges in the last round.
 RANGES = 1024
-RUN = "part int, node int, digest binary, n_bytes long, id long, rid long, n long"
+#: Rows of a chunk at most, and chunks that are merged at once.
+CHUNK, AT_ONCE = 1024, 64
+RUN = "node int, part int, first binary, rows binary"
+#: The key is the digest and the byte length; in byte order.
+ENTRY = np.dtype([("key", "S40"), ("no_id", "u1"), ("id", "<i8"), ("rid", "<i8"), ("n", "<i8")])
 
 
 def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def _merge(batches):
-    """Merges rows sorted by (part, node, digest, n_bytes, preference): first row of a group, counts added."""
-    carry = None
+def _entries(batch: pa.RecordBatch) -> np.ndarray:
+    """The rows (digest, n_bytes, id, rid) of a batch, packed."""
+    rows = np.empty(batch.num_rows, ENTRY)
+    key = np.empty((batch.num_rows, 40), np.uint8)
+    key[:, :32] = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint8).reshape(-1, 32)
+    key[:, 32:] = batch.column("n_bytes").to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)
+    rows["key"] = key.view("S40")[:, 0]
+    rows["no_id"] = batch.column("id").is_null().to_numpy(zero_copy_only=False)
+    rows["id"] = batch.column("id").fill_null(0).to_numpy()
+    rows["rid"], rows["n"] = batch.column("rid").to_numpy(), 1
+    return rows
+
+
+def _collapse(rows: np.ndarray, keep: str) -> np.ndarray:
+    """One row a key of ``rows``, which are in the keys' order: the preferred identifier and the sum of the counts."""
+    new = np.ones(len(rows), bool)
+    new[1:] = rows["key"][1:] != rows["key"][:-1]
+    if new.all():
+        return rows
+    ids = ~rows["id"] if keep == "max" else rows["id"]
+    rows = rows[np.lexsort((rows["rid"], ids, rows["no_id"], np.cumsum(new)))]
+    starts = np.flatnonzero(new)
+    out = rows[starts]
+    out["n"] = np.add.reduceat(rows["n"], starts)
+    return out
+
+
+def _chunks(node: int, rows: np.ndarray):
+    """``rows``, in order, as chunks that lie in one range each."""
+    if not len(rows):
+        return
+    head = np.ascontiguousarray(rows["key"]).view(np.uint8).reshape(-1, 40)[:, :4]
+    part = (np.ascontiguousarray(head).view(">u4")[:, 0].astype(np.int64) * RANGES) >> 32
+    ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(rows)).tolist()
+    starts = [k for lo, hi in zip([0, *ends[:-1]], ends, strict=True) for k in range(lo, hi, CHUNK)]
+    spans = list(zip(starts, [*starts[1:], len(rows)], strict=True))
+    for k in range(0, len(spans), AT_ONCE):
+        some = spans[k : k + AT_ONCE]
+        at = [lo for lo, _ in some]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([node] * len(some), pa.int32()), pa.array(part[at].astype(np.int32)), pa.array([bytes(rows["key"][lo]).ljust(40, b"\0") for lo in at], pa.binary()), pa.array([rows[lo:hi].tobytes() for lo, hi in some], pa.binary())],
+            ["node", "part", "first", "rows"],
+        )
+
+
+def _first_runs(keep: str):
+    """A partition's rows (node, digest, n_bytes, id, rid), sorted by digest and length, as a run."""
+
+    def run(batches):
+        last, node = np.empty(0, ENTRY), 0
+        for batch in batches:
+            if batch.num_rows:
+                node = batch.column("node")[0].as_py()
+                rows = _collapse(np.concatenate([last, _entries(batch)]), keep)
+                last = rows[-1:]
+                yield from _chunks(node, rows[:-1])
+        yield from _chunks(node, last)
+
+    return run
+
+
+def _merge(keep: str):
+    """Merges the runs of each node: chunks come by (node, first)."""
+
+    def run(batches):
+        node, held = None, np.empty(0, ENTRY)
+        for batch in batches:
+            of = batch.column("node").to_numpy()
+            edges = np.flatnonzero(np.diff(of)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(of)], strict=True):
+                for k in range(lo, hi, AT_ONCE):
+                    if of[k] != node:
+                        yield from _chunks(node, held)
+                        node, held = int(of[k]), np.empty(0, ENTRY)
+                    chunks = [np.frombuffer(c, ENTRY) for c in batch.column("rows").slice(k, min(AT_ONCE, hi - k)).to_pylist()]
+                    rows = np.concatenate([held, *chunks])
+                    rows = _collapse(rows[np.argsort(np.ascontiguousarray(rows["key"]), kind="stable")], keep)
+                    done = np.searchsorted(rows["key"], chunks[-1]["key"][0])  # what comes later isn't below this
+                    yield from _chunks(node, rows[:done])
+                    held = rows[done:]
+        yield from _chunks(node, held)
+
+    return run
+
+
+def _unpack(batches):
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if carry is not None:
-            rows = pa.concat_tables([carry, rows.cast(carry.schema)]).combine_chunks()
-        n = rows.num_rows
-        if not n:
-            continue
-        new = np.ones(n, bool)
-        if n > 1:
-            differs = [pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in (rows.column(k).combine_chunks() for k in ("part", "node", "digest", "n_bytes"))]
-            new[1:] = np.logical_or.reduce([d.to_numpy(zero_copy_only=False) for d in differs])
-        starts = np.flatnonzero(new)
-        counts = np.add.reduceat(rows.column("n").to_numpy(), starts)
-        merged = rows.take(pa.array(starts))
-        merged = merged.set_column(merged.schema.get_field_index("n"), merged.schema.field("n"), pa.array(counts, pa.int64()))
-        carry = merged.slice(len(starts) - 1)
-        yield from merged.slice(0, len(starts) - 1).combine_chunks().to_batches()
-    if carry is not None:
-        yield from carry.combine_chunks().to_batches()
+        for packed in batch.column("rows").to_pylist():
+            rows = np.frombuffer(packed, ENTRY)
+            key = np.ascontiguousarray(rows["key"]).view(np.uint8).reshape(-1, 40)
+            digests, n_bytes = key[:, :32].tobytes(), np.ascontiguousarray(key[:, 32:]).view(">i8")[:, 0].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digests[k : k + 32] for k in range(0, len(digests), 32)], pa.binary()), pa.array(n_bytes), pa.array(rows["id"], mask=rows["no_id"].astype(bool)), pa.array(rows["rid"]), pa.array(rows["n"])],
+                ["digest", "n_bytes", "keep_id", "keep_rid", "group_size"],
+            )
 
 
 def merge_runs(base: DataFrame, keep: str = "max") -> DataFrame:
-    """The last runs of ``base`` (digest, n_bytes, id, rid): a row (digest, n_bytes, keep_id, keep_rid, n) a distinct digest."""
-    prefer = F.col("id").desc_nulls_last() if keep == "max" else F.col("id").asc_nulls_last()
-    order = ["part", "node", "digest", "n_bytes", prefer, "rid"]
-    part = F.floor(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") * RANGES / 2**32).cast("int")
-    runs = base.select(part.alias("part"), F.spark_partition_id().alias("node"), "digest", "n_bytes", "id", "rid", F.lit(1).cast("long").alias("n"))
-    runs = runs.sortWithinPartitions(*order).mapInArrow(_merge, RUN)
+    """The last runs of ``base`` (digest, n_bytes, id, rid): a row (digest, n_bytes, keep_id, keep_rid, group_size) a distinct digest."""
+    bounded_batches(base.sparkSession)
+    rows = base.select(F.spark_partition_id().alias("node"), "digest", "n_bytes", "id", "rid")
+    runs = rows.sortWithinPartitions("digest", "n_bytes").mapInArrow(_first_runs(keep), RUN)
     nodes = base.rdd.getNumPartitions()
     while nodes > 1:
         nodes = math.ceil(nodes / FAN)
         runs = runs.withColumn("node", F.floor(F.col("node") / FAN).cast("int"))
-        runs = runs.repartition("part", "node").sortWithinPartitions(*order).mapInArrow(_merge, RUN)
-    return runs.select("digest", "n_bytes", F.col("id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.col("n").alias("group_size"))
+        runs = runs.repartition("part", "node").sortWithinPartitions("node", "first").mapInArrow(_merge(keep), RUN)
+    return runs.mapInArrow(_unpack, "digest binary, n_bytes long, keep_id long, keep_rid long, group_size long")
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", row_col: str | None = None) -> DataFrame:

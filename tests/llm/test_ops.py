@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,38 @@ def test_exact(odd, empty):
     assert {r.keep_id for r in least if r.doc_id in (5, 6)} == {5}
 
 
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_runs_of_many_partitions(spark, monkeypatch, keep):
+    """Several rounds, chunks merged few at a time, a hot digest, null ids, ties, equal digests of different lengths; then one merge in this process with several chunks a range."""
+    for name, value in {"FAN": 3, "RANGES": 4, "CHUNK": 5, "AT_ONCE": 3}.items():
+        monkeypatch.setattr(exact_dedup, name, value)  # workers have the ranges and chunks of the module
+    rng = random.Random(3)
+    rows = []
+    for rid in range(4000):
+        k = 0 if rng.random() < 0.3 else rng.randrange(1500)
+        digest = bytes(32) if k == 0 else hashlib.sha256(str(k).encode()).digest()[: 32 - k % 3] + bytes(k % 3)
+        rows.append((digest, k % 2 if k > 9 else 7 - rid % 2, None if rng.random() < 0.2 else rng.randrange(50), rid))
+    base = spark.createDataFrame(rows, "digest binary, n_bytes long, id long, rid long").repartition(20)
+    want = {}
+    for digest, n_bytes, i, rid in rows:
+        sign = -1 if keep == "max" else 1
+        want.setdefault((digest, n_bytes), []).append((i is None, 0 if i is None else sign * i, rid, i))
+    got = {(bytes(r.digest), r.n_bytes): (r.keep_id, r.keep_rid, r.group_size) for r in exact_dedup.merge_runs(base, keep).collect()}
+    want = {k: (min(v)[3], min(v)[2], len(v)) for k, v in want.items()}
+    assert got == want
+    chunks = []
+    for node in range(5):
+        run = sorted(rows[node::5], key=lambda r: r[:2])
+        batch = pa.RecordBatch.from_arrays([pa.array([node] * len(run), pa.int32()), *[pa.array(c, t) for c, t in zip(zip(*run, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], ["node", "digest", "n_bytes", "id", "rid"])
+        chunks += [r for b in exact_dedup._first_runs(keep)(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()]
+    assert max(len(c["rows"]) for c in chunks) == 5 * exact_dedup.ENTRY.itemsize and len({c["part"] for c in chunks}) == 4
+    chunks = pa.Table.from_pylist([c | {"node": 0} for c in sorted(chunks, key=lambda c: c["first"])], pa.schema([("node", pa.int32()), ("part", pa.int32()), ("first", pa.binary()), ("rows", pa.binary())]))
+    merged = list(exact_dedup._merge(keep)(chunks.to_batches(max_chunksize=11)))
+    assert [r["first"] for b in merged for r in b.to_pylist()] == sorted(r["first"] for b in merged for r in b.to_pylist())
+    out = [r for b in exact_dedup._unpack(iter(merged)) for r in b.to_pylist()]
+    assert len(out) == len(want) and {(r["digest"], r["n_bytes"]): (r["keep_id"], r["keep_rid"], r["group_size"]) for r in out} == want
+
+
 def test_token_counts(odd, empty):
     model = P.path("piece_bpe_32k.model")
     sp = token_count._processor(model)
