@@ -160,14 +160,21 @@ class Facades:
         at = [self.fields(c).alias(c) for c in "xyz"]
         several = [self.weight(w).alias(w) for w in weights if w not in names] if isinstance(weights, list) else []
         one = F.lit(1.0) if isinstance(weights, list) else self.weight(weights)
-        return cells.select(F.struct("mb", "k", "j", "i").alias("id"), *at, one.alias("w"), *[F.col(n) for n in names], *several)
+        return cells.select(F.struct("mb", "k", "j", "i").alias("id"), *at, one.alias("w"), *[F.col(n) for n in names], *several, *self._regions())
 
-    def _separations(self, bins: int, rmin: float | None) -> tuple[float, float, dict]:
+    def _regions(self) -> list[Column]:
+        """region_x, _y, _z: the root level's block that a cell is in."""
+        if "lx1" not in self.cells.columns:
+            return []
+        return [F.floor(F.col(f"lx{n}") / F.pow(F.lit(2.0), F.col("level"))).cast("int").alias(f"region_{a}") for n, a in ((1, "x"), (2, "y"), (3, "z"))]
+
+    def _separations(self, bins: int, rmin: float | None, near: bool = False) -> tuple[float, float, dict]:
         size = [self.bounds[2 * k + 1] - self.bounds[2 * k] for k in range(3)]
         least = rmin or min(s / n for s, n in zip(size, self.root, strict=True))
         # an open axis is as one of twice its length: no separation is wrapped
         box = tuple(s if self.periodic[a] else 2 * s for a, s in zip("xyz", size, strict=True))
-        return least, 0.5 * math.sqrt(sum(s * s for s in size)), {"box": box}
+        drawn = {"regions": tuple(-(-n // b) for n, b in zip(self.root, self.block, strict=True)), "periodic": tuple(self.periodic[a] for a in "xyz")} if near and self._regions() else {}
+        return least, 0.5 * math.sqrt(sum(s * s for s in size)), {"box": box} | drawn
 
     def sf(self, names: list[str], *, weights: str | list[str] | None = "ones", bins: int = 100, orders: int = 2, log: bool = True, sample: float = 1.0, xyz=None, rmin: float | None = None, redo: bool = False) -> DataFrame:
         """Structure functions from the smallest cell to half the diagonal. ``sample``: the share of the pairs that is drawn."""
@@ -180,8 +187,9 @@ class Facades:
         names = self._vector(var)
         return self._kept(f"sf_{var}_helmholtz", redo, lambda: pairs.helmholtz(self._points(list(names), weights), names, lo if log else 0.0, hi, bins, orders, log=log, xyz=xyz, sample=sample, **box))
 
-    def sf_aniso(self, vel: str = "vel", bcc: str = "bcc", *, weights="ones", bins: int = 100, orders: int = 2, log: bool = True, sample: float = 1.0, xyz=None, redo: bool = False, **angles) -> DataFrame:
-        lo, hi, box = self._separations(bins, None)
+    def sf_aniso(self, vel: str = "vel", bcc: str = "bcc", *, weights="ones", bins: int = 100, orders: int = 2, log: bool = True, sample: float = 1.0, xyz=None, near: bool = True, redo: bool = False, **angles) -> DataFrame:
+        """``near``: whether a sample draws pairs of nearby blocks more often (pairs.BOOSTS, or ``boosts``)."""
+        lo, hi, box = self._separations(bins, None, near)
         v, b = self._vector(vel), self._vector(bcc)
         return self._kept(f"sf_{vel}_{bcc}_aniso", redo, lambda: pairs.anisotropic(self._points([*v, *b], weights), v, b, lo if log else 0.0, hi, bins, orders=orders, log=log, xyz=xyz, sample=sample, **angles, **box))
 

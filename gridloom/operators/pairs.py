@@ -10,20 +10,66 @@ from pyspark.sql import functions as F
 TINY = 1e-30
 
 
-def pair_table(points: DataFrame, columns: list[str], box: tuple[float, float, float] | None = None, sample: float = 1.0, seed: int = 1) -> DataFrame:
+#: How many times likelier pairs of nearby regions are drawn: in one region, or in regions that share a face, an edge, a corner.
+BOOSTS = {"same": 100.0, "face": 16.0, "edge": 4.0, "corner": 2.0}
+
+
+def _slots(share: float) -> int:
+    return max(1, round(1 / share))
+
+
+def _slot(of: str, seed: int, slots: int | Column) -> Column:
+    return F.pmod(F.xxhash64(of, F.lit(seed)), F.lit(slots) if isinstance(slots, int) else slots)
+
+
+def _beside(axis: str, count: int, periodic: bool) -> Column:
+    """The regions of an axis that are at most one away from a point's: structs of the region and 0 (its own) or 1."""
+    own = F.col(f"region_{axis}")
+    move = lambda d: F.pmod(own + d, F.lit(count)) if periodic else own + d
+    every = F.array_distinct(F.array(F.struct(own.alias("at"), F.lit(0).alias("off")), *[F.struct(move(d).cast("int").alias("at"), F.lit(1).alias("off")) for d in (1, -1)]))
+    return F.filter(every, lambda s: ((s["off"] == 0) | (s["at"] != own)) & (s["at"] >= 0) & (s["at"] < count))
+
+
+def _drawn(one: DataFrame, two: DataFrame, sample: float, regions: tuple[int, int, int], periodic: tuple[bool, bool, bool], boosts: dict[str, float], seed: int) -> DataFrame:
+    """Pairs by the regions of their points (region_x, _y, _z): nearby ones at their boosted shares by an equi-join on region and slot, the rest at ``sample`` on a slot."""
+    shares = [min(1.0, sample * boosts.get(k, 1.0)) for k in ("same", "face", "edge", "corner")]
+    slots = F.array(*[F.lit(_slots(s)).cast("long") for s in shares])
+    share = F.array(*[F.lit(1.0 / _slots(s)) for s in shares])
+    at = [f"region_{c}" for c in "xyz"]
+    here = one
+    for c, n, p in zip("xyz", regions, periodic, strict=True):
+        here = here.withColumn(f"_{c}", F.explode(_beside(c, n, p)))
+    kind = F.col("_x.off") + F.col("_y.off") + F.col("_z.off")
+    here = here.withColumn("_kind", kind).withColumn("slot", _slot("id_1", seed, F.get(slots, F.col("_kind")))).withColumns({f"_at_{c}": F.col(f"_{c}.at") for c in "xyz"}).drop("_x", "_y", "_z", *at)
+    there = two.withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in range(4)]))).withColumn("slot", _slot("id_2", seed + 1, F.get(slots, F.col("_kind")))).withColumnsRenamed({f"region_{c}": f"_at_{c}" for c in "xyz"})
+    near = here.join(there, [*[f"_at_{c}" for c in "xyz"], "_kind", "slot"]).withColumn("share", F.get(share, F.col("_kind")))
+    apart = F.lit(False)
+    far = one.withColumn("slot", _slot("id_1", seed, _slots(sample))).join(two.withColumn("slot", _slot("id_2", seed + 1, _slots(sample))).withColumnsRenamed({r: f"_{r}" for r in at}), "slot")
+    for c, n, p in zip("xyz", regions, periodic, strict=True):
+        d = F.abs(F.col(f"region_{c}") - F.col(f"_region_{c}"))
+        apart = apart | ((F.least(d, n - d) if p else d) > 1)
+    far = far.where(apart).withColumn("share", F.lit(1.0 / _slots(sample)))
+    kept = [c for c in one.columns if c not in at] + [c for c in two.columns if c not in at] + ["share"]
+    return near.select(*kept).unionByName(far.select(*kept)).where("id_1 < id_2")
+
+
+def pair_table(points: DataFrame, columns: list[str], box: tuple[float, float, float] | None = None, sample: float = 1.0, seed: int = 1, regions: tuple[int, int, int] | None = None, periodic: tuple[bool, bool, bool] = (True, True, True), boosts: dict[str, float] | None = None) -> DataFrame:
     """All pairs a < b of ``points`` (id, x, y, z, w, ...) as *_1, *_2 columns, with separation lx, ly, lz and r.
 
     Exhaustive pairs are a definition for small sets; for large ones ``sample``
     keeps that share of each point's partners by a hash of the pair of blocks, so
     partners are drawn by an equi-join on a hash slot and not compared at all.
+    With ``regions``, the number of regions along each axis, whose places are the int columns
+    region_x, _y, _z, nearby pairs are drawn more often, by ``boosts`` (BOOSTS unless given), as
+    far pairs outnumber them. The column ``share`` tells how likely a pair was, and binned() weighs by it.
     """
-    one = points.select(*[F.col(c).alias(f"{c}_1") for c in ["id", "x", "y", "z", "w", *columns]])
-    two = points.select(*[F.col(c).alias(f"{c}_2") for c in ["id", "x", "y", "z", "w", *columns]])
-    if sample < 1:
-        slots = max(1, round(1 / sample))
-        one = one.withColumn("slot", F.pmod(F.xxhash64("id_1", F.lit(seed)), F.lit(slots)))
-        two = two.withColumn("slot", F.pmod(F.xxhash64("id_2", F.lit(seed + 1)), F.lit(slots)))
-        pairs = one.join(two, "slot").where("id_1 < id_2")
+    places = [f"region_{c}" for c in "xyz"] if regions and sample < 1 else []
+    one = points.select(*[F.col(c).alias(f"{c}_1") for c in ["id", "x", "y", "z", "w", *columns]], *places).where("w_1 != 0")
+    two = points.select(*[F.col(c).alias(f"{c}_2") for c in ["id", "x", "y", "z", "w", *columns]], *places).where("w_2 != 0")
+    if places:
+        pairs = _drawn(one, two, sample, regions, periodic, BOOSTS if boosts is None else boosts, seed)
+    elif sample < 1:
+        pairs = one.withColumn("slot", _slot("id_1", seed, _slots(sample))).join(two.withColumn("slot", _slot("id_2", seed + 1, _slots(sample))), "slot").where("id_1 < id_2")
     else:
         pairs = one.join(two, F.col("id_1") < F.col("id_2"))
     for n, c in enumerate("xyz"):
@@ -31,16 +77,21 @@ def pair_table(points: DataFrame, columns: list[str], box: tuple[float, float, f
         if box:
             d = F.when(d > box[n] / 2, d - box[n]).when(d < -box[n] / 2, d + box[n]).otherwise(d)
         pairs = pairs.withColumn(f"l{c}", d)
-    return pairs.where("w_1 != 0 AND w_2 != 0").withColumn("r", F.sqrt(F.col("lx") ** 2 + F.col("ly") ** 2 + F.col("lz") ** 2))
+    return pairs.withColumn("r", F.sqrt(F.col("lx") ** 2 + F.col("ly") ** 2 + F.col("lz") ** 2))
 
 
 def binned(pairs: DataFrame, along: Column, amounts: dict[str, Column], lo: float, hi: float, bins: int, orders: int = 2, within: Column | None = None, log: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """bin, n, weight and for each amount the mean of its powers 1 .. orders over bins [lo, hi), equal in the separation or in its logarithm."""
+    """bin, n, weight and for each amount the mean of its powers 1 .. orders over bins [lo, hi), equal in the separation or in its logarithm.
+
+    Pairs with a column ``share`` stand for 1 / share pairs in the means; n and weight are of the pairs that were drawn.
+    """
     if log:
         along, lo, hi = F.log10(F.when(along > 0, along)), math.log10(lo), math.log10(hi)
-    kept = pairs.select(F.floor((along - lo) / (hi - lo) * bins).cast("int").alias("bin"), (F.col("w_1") + F.col("w_2")).alias("w"), (F.lit(True) if within is None else within).alias("_in"), *by, *[a.alias(n) for n, a in amounts.items()])
+    stands = [(1 / F.col("share")).alias("_of")] if "share" in pairs.columns else []
+    mean = lambda v: F.sum(v * F.col("_of")) / F.sum("_of") if stands else F.avg(v)
+    kept = pairs.select(*stands, F.floor((along - lo) / (hi - lo) * bins).cast("int").alias("bin"), (F.col("w_1") + F.col("w_2")).alias("w"), (F.lit(True) if within is None else within).alias("_in"), *by, *[a.alias(n) for n, a in amounts.items()])
     kept = kept.where((F.col("bin") >= 0) & (F.col("bin") < bins) & F.col("_in"))
-    return kept.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("w").alias("weight"), *[F.avg(F.col(n) ** p).alias(f"{n}_{p}") for n in amounts for p in range(1, orders + 1)])
+    return kept.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("w").alias("weight"), *[mean(F.col(n) ** p).alias(f"{n}_{p}") for n in amounts for p in range(1, orders + 1)])
 
 
 def within_box(points: DataFrame, xyz: list[float] | None) -> DataFrame:
@@ -92,5 +143,5 @@ def anisotropic(points: DataFrame, velocity: tuple[str, str, str], field: tuple[
     # the three kinds of separation are rows of one pass over the pairs
     kinds = (("all", F.col("r"), F.lit(True)), ("parallel", F.col("l_par"), F.col("_cos") > cos_parallel), ("perpendicular", F.col("l_perp"), F.col("_cos") <= cos_perpendicular))
     rows = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), l.alias("l"), w.alias("in")) for k, l, w in kinds]), lambda s: s["in"]))
-    each = table.select("w_1", "w_2", *[a.alias(n) for n, a in amounts.items()], rows.alias("_s")).withColumn("kind", F.col("_s.kind"))
+    each = table.select(*[c for c in ("w_1", "w_2", "share") if c in table.columns], *[a.alias(n) for n, a in amounts.items()], rows.alias("_s")).withColumn("kind", F.col("_s.kind"))
     return binned(each, F.col("_s.l"), {n: F.col(n) for n in amounts}, lo, hi, bins, orders, log=log, by=("kind",))

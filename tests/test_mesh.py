@@ -10,7 +10,7 @@ from gridloom.functions.units import ATOMIC_MASS, BOLTZMANN, Units
 from gridloom.operators import aggregates as A
 from gridloom.operators import lattice as L
 from gridloom.operators import mesh as M
-from gridloom.operators import spectral, surface
+from gridloom.operators import pairs, spectral, surface
 from gridloom.snapshot import Snapshot
 from gridloom.sources.meshbin import write_meshbin
 from gridloom.sources.particles import write_particles
@@ -163,6 +163,8 @@ def test_facades(spark, snap, data, tmp_path):
         assert r.count() > 0
     few = snap.sf(["dens"], bins=4, sample=0.25, redo=True).agg(F.sum("n")).first()[0]
     assert 0.15 < few / (512 * 511 / 2) < 0.35
+    near = snap.sf_aniso(bins=4, sample=0.01, redo=True).where("kind = 'all'").agg(F.sum("n")).first()[0]
+    assert near > 2 * 0.01 * 512 * 511 / 2  # 0.01 is every pair of a block, 0.16 of those across a face
     several = snap.sf(["dens"], weights=["dens", "ones"], bins=3, redo=True)
     assert {r.weighting for r in several.collect()} == {"dens", "ones"}
     snap.results = {k: v for k, v in snap.results.items() if k.startswith(("dist_", "profile"))}
@@ -175,6 +177,32 @@ def test_facades(spark, snap, data, tmp_path):
         Snapshot.load_both(spark, str(tmp_path), 8, "run")
 
 
+@pytest.mark.parametrize("count", [(4, 4, 4), (1, 2, 5)])
+def test_pairs_of_nearby_regions_are_drawn_more_often(spark, count):
+    """Shares by kind against their definition, no pair twice, nearby ones whole where the share is 1, and means that stand for all pairs."""
+    rng = np.random.default_rng(5)
+    region, periodic, names = rng.integers(0, count, (500, 3)), (True, True, False), ("x", "y", "z")
+    x = (region + rng.random((500, 3))) / count
+    rows = [(k, *v.tolist(), 0.0 if k == 9 else 1.0, *r.tolist()) for k, (v, r) in enumerate(zip(x, region, strict=True))]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double, w double, region_x int, region_y int, region_z int")
+    table = pairs.pair_table(points, [], sample=0.1, regions=count, periodic=periodic)
+    got = {(r.id_1, r.id_2): r.share for r in table.select("id_1", "id_2", "share").collect()}
+    assert len(got) == table.count()
+    a, b = np.triu_indices(500, 1)
+    a, b = a[(a != 9) & (b != 9)], b[(a != 9) & (b != 9)]
+    d = np.abs(region[a] - region[b])
+    d = np.where(periodic, np.minimum(d, np.array(count) - d), d)
+    share = np.where(d.max(1) > 1, 0.1, np.array([1.0, 1.0, 0.5, 0.2])[np.minimum(d, 1).sum(1)])
+    want = {(int(p), int(q)): s for p, q, s in zip(a, b, share, strict=True)}
+    assert all(want[k] == s for k, s in got.items()) and all(k in got for k, s in want.items() if s == 1.0)
+    for s in (0.5, 0.2, 0.1):
+        n = sum(v == s for v in want.values())
+        assert n < 500 or sum(v == s for v in got.values()) == pytest.approx(s * n, rel=0.25)
+    r = np.sqrt(((x[a] - x[b]) ** 2).sum(1))
+    one = pairs.binned(table, F.lit(0.5), {"r": F.col("r")}, 0.0, 1.0, 1).first()
+    assert one.n == len(got) and one.r_1 == pytest.approx(r.mean(), rel=0.05)
+
+
 def test_block_regions(snap):
     regions = {r.region for r in M.box_class(snap.blocks(), [-0.5, 0.0, -0.5, 0.25, -0.5, 0.5]).collect()}
     assert regions == {"inside", "partial"}
