@@ -135,14 +135,14 @@ def _unpack(batches):
 def merge_runs(base: DataFrame, keep: str = "max") -> DataFrame:
     """The last runs of ``base`` (digest, n_bytes, id, rid): a row (digest, n_bytes, keep_id, keep_rid, group_size) a distinct digest."""
     bounded_batches(base.sparkSession)
-    rows = base.select(F.spark_partition_id().alias("node"), "digest", "n_bytes", "id", "rid")
-    runs = rows.sortWithinPartitions("digest", "n_bytes").mapInArrow(_first_runs(keep), RUN)
-    nodes = base.rdd.getNumPartitions()
+    runs = base.select(F.spark_partition_id().alias("node"), "digest", "n_bytes", "id", "rid").sortWithinPartitions("digest", "n_bytes")
+    nodes, step = base.rdd.getNumPartitions(), _first_runs(keep)
     while nodes > 1:
         nodes = math.ceil(nodes / FAN)
-        runs = runs.withColumn("node", F.floor(F.col("node") / FAN).cast("int"))
-        runs = runs.repartition("part", "node").sortWithinPartitions("node", "first").mapInArrow(_merge(keep), RUN)
-    return runs.mapInArrow(_unpack, "digest binary, n_bytes long, keep_id long, keep_rid long, group_size long")
+        runs = runs.mapInArrow(step, RUN).withColumn("node", F.floor(F.col("node") / FAN).cast("int"))
+        runs, step = runs.repartition("part", "node").sortWithinPartitions("node", "first"), _merge(keep)
+    # the last step unpacks by itself: another Python function in its stage would be another worker beside each task's
+    return runs.mapInArrow(lambda batches: _unpack(step(batches)), "digest binary, n_bytes long, keep_id long, keep_rid long, group_size long")
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", row_col: str | None = None) -> DataFrame:
