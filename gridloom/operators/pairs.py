@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +128,133 @@ def helmholtz(points: DataFrame, vector: tuple[str, str, str], lo: float, hi: fl
     return binned(pair_table(within_box(points, xyz), list(vector), **pairs), F.col("r"), {"comp": comp, "sol": sol}, lo, hi, bins, orders, log=log)
 
 
+#: Pairs that a task holds at a time: some thirty arrays of that many doubles, which should stay in its core's cache.
+TILE = 8192
+
+
+def _crossed(points: DataFrame) -> DataFrame:
+    """``points`` (id and others) in blocks by a hash of the id, each sent to every two blocks p <= q that it is one of; ``own`` tells which.
+
+    The blocks grow with the root of the points' number, and so do the copies of a point.
+    """
+    if points.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        points = points.withColumn("id", F.to_json(F.struct("id")))
+    blocks = max(1, math.ceil(math.sqrt(points.count()) / 10))
+    own = points.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return own.withColumns({"p": F.least("own", "_to"), "q": F.greatest("own", "_to")}).drop("_to").repartition(blocks * (blocks + 1) // 2, "p", "q")
+
+
+def _tiles(pdf: pd.DataFrame) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray | None]]:
+    """Columns of rows and of what they meet, and which of the pairs count (None: all): every two points of a group's two blocks, or of its only one, whose ids differ."""
+    one, two = (pdf[pdf["own"] == pdf[c].iat[0]] for c in "pq")
+    alone = pdf["p"].iat[0] == pdf["q"].iat[0]
+    if alone:
+        one = two = one.assign(rank=np.unique(one["id"].to_numpy(), return_inverse=True)[1]).sort_values("rank")
+    a, b = ({c: np.ascontiguousarray(d[c].to_numpy()) for c in d.columns if c not in ("id", "own", "p", "q")} for d in (one, two))
+    step = max(1, TILE // max(1, len(two)))
+    for k in range(0, len(one) if len(two) else 0, step):
+        rows = {c: x[k : k + step] for c, x in a.items()}
+        others = {c: x[k:] for c, x in b.items()} if alone else b
+        yield rows, others, rows["rank"][:, None] < others["rank"][None, :] if alone else None
+
+
+def _dot(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    out, part = one[0] * two[0], one[1] * two[1]
+    out += part
+    np.multiply(one[2], two[2], out=part)
+    out += part
+    return out
+
+
+def _across(whole: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """sqrt(whole - part^2), 0 where rounding makes that negative."""
+    out = part * part
+    np.subtract(whole, out, out=out)
+    np.maximum(out, 0.0, out=out)
+    return np.sqrt(out, out=out)
+
+
+def _anisotropic_sums(lo: float, hi: float, bins: int, cos_parallel: float, cos_perpendicular: float, orders: int, log: bool, box: tuple[float, float, float] | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A group of _crossed() to kind, bin, n, weight, known (pairs with a velocity) and the sums of the amounts' powers."""
+    kinds, names = ("all", "parallel", "perpendicular"), ("vel", "vel_perp", "bcc", "bcc_perp")
+    columns = ["n", "weight", "known", *[f"{a}_{p}" for a in names for p in range(1, orders + 1)]]
+    start, width = (math.log10(lo), math.log10(hi) - math.log10(lo)) if log else (lo, hi - lo)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((len(columns), len(kinds) * bins))
+        w = 2 * pdf["w"].iat[0] if pdf["w"].nunique(dropna=False) == 1 else None
+        whole = pdf["known"].all()
+        with np.errstate(all="ignore"):
+            for a, b, counts in _tiles(pdf):
+                moved = lambda c: b[c][None, :] - a[c][:, None]  # noqa: B023, E731
+                l, v, d = ([moved(f"{n}{k}") for k in "012"] for n in "xvb")
+                for k, size in enumerate(box or ()):
+                    l[k] = np.where(l[k] > size / 2, l[k] - size, np.where(l[k] < -size / 2, l[k] + size, l[k]))
+                m = [a[f"b{k}"][:, None] + b[f"b{k}"][None, :] for k in "012"]  # twice the mean field, whose direction is taken
+                field = np.sqrt(_dot(m, m))
+                r2 = _dot(l, l)
+                r = np.sqrt(r2)
+                kept = (r > TINY) & ~(field <= 2 * TINY)
+                if counts is not None:
+                    kept &= counts
+                along = np.abs(_dot(l, m))
+                along /= field
+                cos = along / r
+                v2, d2 = _dot(v, v), _dot(d, d)
+                vm, dm = _dot(v, m), _dot(d, m)
+                vm /= field
+                dm /= field
+                amounts = [np.sqrt(v2), _across(v2, vm), np.sqrt(d2), _across(d2, dm)]
+                known = None if whole else a["known"][:, None] & b["known"][None, :]
+                rows, places = [], []
+                for kind, (at, within) in enumerate(((r, kept), (along, kept & (cos > cos_parallel)), (None, kept & (cos <= cos_perpendicular)))):
+                    some = slice(None) if within.all() else np.flatnonzero(within)
+                    at = at.ravel()[some] if at is not None else _across(r2.ravel()[some], along.ravel()[some])
+                    place = np.log10(np.where(at > 0, at, np.nan)) if log else at
+                    place = (place - start if start else place) / width * bins
+                    inside = (place >= 0) & (place < bins)
+                    if not inside.all():
+                        some, place = (np.arange(within.size) if isinstance(some, slice) else some)[inside], place[inside]
+                    rows.append(some)
+                    places.append(place.astype(np.intp) + kind * bins)
+                place = np.concatenate(places)
+                taken = lambda x: np.concatenate([x.ravel()[k] for k in rows])  # noqa: B023, E731
+                summed = lambda x: np.bincount(place, x, len(kinds) * bins)  # noqa: B023, E731
+                total[0] += (n := np.bincount(place, minlength=len(kinds) * bins))
+                total[1] += n * w if w is not None else summed(taken(a["w"][:, None] + b["w"][None, :]))
+                has = None if known is None else taken(known)
+                total[2] += n if has is None else summed(has)
+                for k, amount in enumerate(amounts):
+                    x = taken(amount)
+                    x = x if k > 1 or has is None else np.where(has, x, 0.0)
+                    for p in range(orders):
+                        power = power * x if p else x
+                        total[3 + k * orders + p] += summed(power)
+        out = pd.DataFrame(total.T, columns=columns).assign(kind=np.repeat(kinds, bins), bin=np.tile(np.arange(bins), len(kinds)))
+        return out[out["n"] > 0].astype({"n": "int64", "known": "int64", "bin": "int32"})[["kind", "bin", *columns]]
+
+    return sums
+
+
+def _anisotropic_whole(points: DataFrame, velocity: tuple[str, str, str], field: tuple[str, str, str], lo: float, hi: float, bins: int, cos_parallel: float, cos_perpendicular: float, orders: int, log: bool, box: tuple[float, float, float] | None = None) -> DataFrame:
+    """anisotropic() over all pairs: arrays of pairs of two blocks of points, of which only the bins' sums leave a task."""
+    at = {f"{n}{k}": F.col(c).cast("double") for n, of in (("x", "xyz"), ("v", velocity), ("b", field)) for k, c in enumerate(of)}
+    named = points.select("id", F.col("w").cast("double").alias("w"), *[c.alias(n) for n, c in at.items()]).where("w != 0 AND id IS NOT NULL")
+    named = named.where(" AND ".join(f"{n} IS NOT NULL" for n in at if n[0] != "v"))
+    named = named.withColumn("known", F.col("v0").isNotNull() & F.col("v1").isNotNull() & F.col("v2").isNotNull())
+    named = named.withColumns({n: F.when(F.col(n).isNull(), 0.0).otherwise(F.col(n)) for n in ("v0", "v1", "v2")})
+    amounts = [f"{a}_{p}" for a in ("vel", "vel_perp", "bcc", "bcc_perp") for p in range(1, orders + 1)]
+    sums = _anisotropic_sums(lo, hi, bins, cos_parallel, cos_perpendicular, orders, log, box)
+    each = _crossed(named).groupBy("p", "q").applyInPandas(sums, "kind string, bin int, n long, weight double, known long, " + ", ".join(f"{a} double" for a in amounts))
+    each = each.withColumns({a: F.coalesce(a, F.lit(math.nan)) for a in ("weight", *amounts)})  # pandas' NaN come back as nulls
+    mean = lambda a: F.sum(a) / F.nullif(F.sum("n" if a.startswith(("vel_perp", "bcc")) else "known"), F.lit(0))  # noqa: E731  # greatest() makes an unknown part across the field 0
+    return each.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), *[mean(a).alias(a) for a in amounts])
+
+
 def anisotropic(points: DataFrame, velocity: tuple[str, str, str], field: tuple[str, str, str], lo: float, hi: float, bins: int, cos_parallel: float = 0.9, cos_perpendicular: float = 0.1, orders: int = 2, log: bool = False, xyz: list[float] | None = None, **pairs) -> DataFrame:
     """Differences of the velocity and the magnetic field, whole and across the local mean field; kind: all, parallel, perpendicular separations."""
+    if pairs.get("sample", 1.0) >= 1:
+        return _anisotropic_whole(within_box(points, xyz), velocity, field, lo, hi, bins, cos_parallel, cos_perpendicular, orders, log, pairs.get("box"))
     table = pair_table(within_box(points, xyz), [*velocity, *field], **pairs)
     mean = [0.5 * (F.col(f"{b}_1") + F.col(f"{b}_2")) for b in field]
     size = F.sqrt(sum((m**2 for m in mean), F.lit(0.0)))
