@@ -114,12 +114,16 @@ EDGE = 4
 
 
 def _snapshot(spark, sf_dir) -> tuple[Snapshot, int]:
-    """The lattice cut into blocks of EDGE cells, periodic."""
+    """The lattice cut into blocks of EDGE cells, periodic.
+
+    A block's upper bound is its lower one and its width.
+    """
     cells, n = _lattice(spark, sf_dir)
     lx = [F.floor(F.col(c) / EDGE).cast("int") for c in "ijk"]
     m = -(-n // EDGE)
     cells = cells.withColumns({f"lx{d}": lx[d - 1] for d in (1, 2, 3)}).withColumn("mb", ((F.col("lx3") * m + F.col("lx2")) * m + F.col("lx1")).cast("int")).withColumn("level", F.lit(0))
-    cells = cells.withColumns({f"x{d}min": F.lit(-0.5) + F.col(f"lx{d}") * (EDGE / n) for d in (1, 2, 3)} | {f"x{d}max": F.lit(-0.5) + (F.col(f"lx{d}") + 1) * (EDGE / n) for d in (1, 2, 3)} | {f"nx{d}": F.lit(float(EDGE)) for d in (1, 2, 3)})
+    low = {d: F.lit(-0.5) + F.col(f"lx{d}") * (EDGE / n) for d in (1, 2, 3)}
+    cells = cells.withColumns({f"x{d}min": at for d, at in low.items()} | {f"x{d}max": at + F.lit(EDGE / n) for d, at in low.items()} | {f"nx{d}": F.lit(float(EDGE)) for d in (1, 2, 3)})
     cells = cells.withColumns({c: F.col(c) % EDGE for c in "kji"})
     return Snapshot(cells, None, **{f"nx{d}": EDGE for d in (1, 2, 3)}, **{f"Nx{d}": n for d in (1, 2, 3)}, **{f"X{d}{m}": v for d in (1, 2, 3) for m, v in (("min", -0.5), ("max", 0.5))}, periodic=1.0, **LIMITS), n
 
