@@ -145,7 +145,14 @@ def blurred(image: DataFrame, size: tuple[int, int], sigma: float, value: str =
     return image.select("px", "py", value)
 
 
-def relative_to_profile(cells: DataFrame, values: dict[str, Column], lo: float, hi: float, bins: int, along: Column, weights: Column, suffix: str = "") -> DataFrame:
-    """cells and p_<name><suffix>: the vertical profile's value in the cell's bin. The profile is a row a bin, so it is broadcast."""
-    p = profile(cells, along, values, lo, hi, bins, weights).select("bin", *[F.col(n).alias(f"p_{n}{suffix}") for n in values])
-    return cells.withColumn("bin", bin_index(along, lo, hi, bins)).join(F.broadcast(p), "bin", "left").drop("bin")
+def relative_to_profile(cells: DataFrame, values: dict[str, Column], lo: float, hi: float, bins: int, along: Column, weights: Column, suffix: str = "", of: DataFrame | None = None) -> DataFrame:
+    """cells and p_<name><suffix>: the value in the cell's bin of the vertical profile, of ``cells`` or of ``of``. The profile is a row a bin, so it is broadcast.
+
+    Weights that are alike round their sum to one side, so the means are corrected by the mean of what is left over them.
+    """
+    at, of = bin_index(along, lo, hi, bins), cells if of is None else of
+    p = profile(of, along, values, lo, hi, bins, weights).select("bin", *[F.col(n).alias(f"p_{n}{suffix}") for n in values])
+    kept = of.select(at.alias("bin"), weights.alias("_w"), *[v.alias(f"_{n}") for n, v in values.items()]).where("bin IS NOT NULL").join(F.broadcast(p), "bin")
+    over = kept.groupBy("bin").agg(*[finite(F.try_divide(F.sum(F.col("_w") * (F.coalesce(f"_{n}", F.lit(0.0)) - F.col(f"p_{n}{suffix}"))), F.sum("_w"))).alias(f"_{n}") for n in values])
+    p = p.join(F.broadcast(over), "bin", "left").select("bin", *[(F.col(f"p_{n}{suffix}") + F.coalesce(f"_{n}", F.lit(0.0))).alias(f"p_{n}{suffix}") for n in values])
+    return cells.withColumn("bin", at).join(F.broadcast(p), "bin", "left").drop("bin")

@@ -116,9 +116,11 @@ EDGE = 4
 def _snapshot(spark, sf_dir) -> tuple[Snapshot, int]:
     """The lattice cut into blocks of EDGE cells, periodic.
 
-    A block's upper bound is its lower one and its width.
+    A block's upper bound is its lower one and its width. Cells' centres x, y, z are those of the whole
+    mesh: from the blocks' rounded bounds, the middle of an odd lattice wouldn't be at 0.
     """
     cells, n = _lattice(spark, sf_dir)
+    cells = cells.withColumns({c: FIELDS(c) for c in "xyz"})
     lx = [F.floor(F.col(c) / EDGE).cast("int") for c in "ijk"]
     m = -(-n // EDGE)
     cells = cells.withColumns({f"lx{d}": lx[d - 1] for d in (1, 2, 3)}).withColumn("mb", ((F.col("lx3") * m + F.col("lx2")) * m + F.col("lx1")).cast("int")).withColumn("level", F.lit(0))

@@ -110,12 +110,13 @@ class Snapshot(Facades):
             for b in ("bcc1", "bcc2", "bcc3"):
                 cells = self.gradient(b, cells=cells)
             cells = cells.select(*wanted, *[c for c in cells.columns if c.startswith("dbcc")])
+        plain = cells  # not those that a profile was joined to: each would be made anew for the next one
         for suffix, mask in MASKS.items():
             own = [n for n in extra if n.startswith("p_") and next((s for s in ("_hot", "_range") if n.endswith(s)), "") == suffix]
             if own:
                 source = {n[2 : len(n) - len(suffix)]: fields(n[2 : len(n) - len(suffix)]) for n in own}
                 w = fields("vol") if mask is None else fields("vol") * fields(mask)
-                cells = aggregates.relative_to_profile(cells, source, self.bounds[4], self.bounds[5], self.root[2], fields("z"), w, suffix)
+                cells = aggregates.relative_to_profile(cells, source, self.bounds[4], self.bounds[5], self.root[2], fields("z"), w, suffix, plain)
         return self.fields.over(cells.columns).select(cells, names)
 
     def gradient(self, name: str, *, edge_order: int = 1, cells: DataFrame | None = None) -> DataFrame:
